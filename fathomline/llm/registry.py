@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .sstable import token_table
+from .tokens import tokenizer_path
+
+
+def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(documents(spark, sf_dir), tokenizer_path(), end_id=1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +21,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return {"op1_sstable": op1_sstable, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
