@@ -10,6 +10,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .sstable import token_table
 from .tokens import tokenizer_path
+from .toxicity import toxicity
 
 
 def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +21,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sstable": op1_sstable, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_sstable": op1_sstable, "op8_exact_dedup": op8_exact_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
