@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .simhash import near_components
 from .sstable import token_table
 from .tokens import tokenizer_path
 from .toxicity import toxicity
@@ -21,12 +22,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(documents(spark, sf_dir), shingle=3, reach=2)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sstable": op1_sstable, "op8_exact_dedup": op8_exact_dedup, "op10_toxicity": op10_toxicity}
+    return {"op1_sstable": op1_sstable, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
