@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .decontamination import contained_items
 from .exact_dedup import exact_dedup
 from .simhash import near_components
 from .sstable import token_table
@@ -18,6 +19,10 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(documents(spark, sf_dir), tokenizer_path(), end_id=1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -31,11 +36,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sstable": op1_sstable, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+    return {"op1_sstable": op1_sstable, "op3_decontamination": op3_decontamination, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_decontamination": r"""
+            WITH words AS (
+                SELECT 'd' AS kind, doc_id AS id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents
+                UNION ALL
+                SELECT 'i', item_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] FROM benchmark),
+            runs AS (
+                SELECT kind, id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+            own AS (SELECT DISTINCT kind, id, s FROM runs),
+            sizes AS (SELECT id AS item_id, count(*) AS n_item FROM own WHERE kind = 'i' GROUP BY id),
+            hits AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM own d JOIN own i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+            SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM hits JOIN sizes USING (item_id)
+            WHERE n_shared >= ceil(0.8::DOUBLE * n_item)""",
         "op8_exact_dedup": r"""
             WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
