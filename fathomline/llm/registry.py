@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .decontamination import contained_items
 from .exact_dedup import exact_dedup
+from .packing import packed
 from .simhash import near_components
 from .sstable import token_table
 from .tokens import tokenizer_path
@@ -23,6 +24,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir), tokenizer_path(), end_id=2, length=4096).drop("tokens")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -36,7 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sstable": op1_sstable, "op3_decontamination": op3_decontamination, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+    return {"op1_sstable": op1_sstable, "op3_decontamination": op3_decontamination, "op5_packing": op5_packing, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
