@@ -10,6 +10,7 @@ from .common import documents
 from .decontamination import contained_items
 from .exact_dedup import exact_dedup
 from .packing import packed
+from .pii import pseudonymized
 from .simhash import near_components
 from .sstable import token_table
 from .tokens import tokenizer_path
@@ -24,6 +25,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymized(documents(spark, sf_dir), key="fathomline")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), tokenizer_path(), end_id=2, length=4096).drop("tokens")
 
@@ -41,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sstable": op1_sstable, "op3_decontamination": op3_decontamination, "op5_packing": op5_packing, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+    return {"op1_sstable": op1_sstable, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_packing": op5_packing, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
