@@ -11,6 +11,7 @@ from .decontamination import contained_items
 from .exact_dedup import exact_dedup
 from .packing import packed
 from .pii import pseudonymized
+from .secrets import labelled_findings, secret_scan, trained
 from .simhash import near_components
 from .sstable import token_table
 from .tokens import tokenizer_path
@@ -21,6 +22,10 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(documents(spark, sf_dir), tokenizer_path(), end_id=1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir, "doc_id", "text", "source"), trained(labelled_findings(spark)))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -46,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sstable": op1_sstable, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_packing": op5_packing, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+    return {"op1_sstable": op1_sstable, "op2_secrets": op2_secrets, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_packing": op5_packing, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,31 @@
+"""Secret scan: held-out findings, offsets, odd rows."""
+
+from pyspark.sql import functions as F
+
+from fathomline.llm.secrets import features, labelled_findings, secret_scan, trained
+
+HEX = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+
+
+def test_scan(spark):
+    findings = labelled_findings(spark, 3000).withColumn("held", F.xxhash64("candidate") % 4 == 0)
+    model = trained(findings.filter("NOT held"))
+    held = findings.filter("held").select("label", *[x.alias(k) for k, x in features().items()])
+    right = model.transform(held).agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
+    assert right > 0.93
+    rows = [
+        (1, f'éa of the token = "{HEX}" ernt. It.', "src1"),
+        (2, "hast 4952935900253052 of", "src1"),
+        (3, f"commit {HEX} by the", "src1"),
+        (4, None, None),
+        (5, "", "src"),
+        (6, f'token = "{HEX}"### and TOKEN = "{HEX.upper()}"', "src1"),
+        (None, f'token = "{HEX}"', None),
+        (7, "y" * 200000, "x"),
+    ]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, score int")
+    found = secret_scan(docs, model).collect()
+    text = {r[0]: r[1] for r in rows}
+    assert all(text[x.doc_id][x.start : x.start + x.length] == x.secret for x in found)
+    assert sorted((x.doc_id or 0, x.is_secret) for x in found) == [(0, True), (1, True), (2, False), (3, False), (6, True), (6, True)]
+    assert secret_scan(docs.limit(0), model).count() == 0
