@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .decontamination import contained_items
 from .exact_dedup import exact_dedup
+from .extraction import extracted
 from .packing import packed
 from .pii import pseudonymized
 from .secrets import labelled_findings, secret_scan, trained
@@ -38,6 +39,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), tokenizer_path(), end_id=2, length=4096).drop("tokens")
 
 
+def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -51,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sstable": op1_sstable, "op2_secrets": op2_secrets, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_packing": op5_packing, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+    return {"op1_sstable": op1_sstable, "op2_secrets": op2_secrets, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_packing": op5_packing, "op7_extraction": op7_extraction, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
