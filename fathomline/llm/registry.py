@@ -15,6 +15,7 @@ from .pii import pseudonymized
 from .secrets import labelled_findings, secret_scan, trained
 from .simhash import near_components
 from .sstable import token_table
+from .suffix_dedup import without_repeats
 from .tokens import tokenizer_path
 from .toxicity import toxicity
 
@@ -39,6 +40,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), tokenizer_path(), end_id=2, length=4096).drop("tokens")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir), window=200).drop("kept")
+
+
 def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -56,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sstable": op1_sstable, "op2_secrets": op2_secrets, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_packing": op5_packing, "op7_extraction": op7_extraction, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+    return {"op1_sstable": op1_sstable, "op2_secrets": op2_secrets, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_packing": op5_packing, "op6_suffix_dedup": op6_suffix_dedup, "op7_extraction": op7_extraction, "op8_exact_dedup": op8_exact_dedup, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
