@@ -60,3 +60,18 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def whole(text: str = "text") -> F.Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+#: Keys up to this number are broadcast when rows are dropped by key; more are shuffled.
+FEW_KEYS = 500_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, F.Column]) -> DataFrame:
+    """The rows of docs, all columns, whose keys (name in dropped: expression over docs; null equals null) aren't in dropped."""
+    gone = stored(dropped.select(*[F.col(k).alias(f"gone {k}") for k in keys]).distinct(), "gone")
+    few = F.broadcast(gone) if gone.count() <= FEW_KEYS else gone
+    same = [x.eqNullSafe(F.col(f"`gone {k}`")) for k, x in keys.items()]
+    condition = same[0]
+    for x in same[1:]:
+        condition = condition & x
+    return docs.join(few, condition, "left_anti")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole
+from .common import stored, whole, without
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 #: Sketch hashes, items' shingles and found pairs up to these numbers are broadcast.
@@ -94,5 +94,5 @@ def contained_items(docs: DataFrame, items: DataFrame, least: float = 0.8, shing
 
 def decontaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, all columns, whose document contains no item."""
-    found = contained_items(docs, items, least, id_col=id_col).select(F.col("doc_id").alias("contaminated_id")).distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("contaminated_id")), "left_anti")
+    found = contained_items(docs, items, least, id_col=id_col)
+    return without(docs, found, {"doc_id": F.col(id_col).cast("long")})

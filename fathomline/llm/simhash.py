@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, stored, whole
+from .common import ready, stored, whole, without
 from .components import components, stars
 
 SEED = 42
@@ -80,15 +80,16 @@ def fingerprints_of(texts: list[str], size: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fingerprint (a long with the 64 bits) of every row."""
+    """doc_id, k (a hash of the text) and fingerprint (a long with the 64 bits) of every row."""
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = fingerprints_of(batch.column(1).to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fingerprint"])
+            found = fingerprints_of(batch.column(2).to_pylist(), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "k", "fingerprint"])
 
     ready(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(apply, "doc_id long, fingerprint long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole(text_col)).alias("k"), whole(text_col).alias("text"))
+    return rows.mapInArrow(apply, "doc_id long, k long, fingerprint long")
 
 
 def distance(points: np.ndarray, vantage: int) -> np.ndarray:
@@ -201,13 +202,170 @@ def near_links(distinct: DataFrame, reach: int) -> DataFrame:
     return shards.groupBy("shard").applyInArrow(link, "a long, b long")
 
 
+def rooted(rows: DataFrame, reach: int) -> DataFrame:
+    """fingerprint, first (its least doc_id) and root of every distinct fingerprint in rows."""
+    distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
+    found = components(near_links(distinct, reach))
+    named = distinct.join(found, distinct["fingerprint"] == found["node"], "left")
+    return stored(named.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")), "named")
+
+
 def near_components(docs: DataFrame, shingle: int = 3, reach: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id that links reach) of every row."""
     rows = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(near_links(distinct, reach))
-    named = distinct.join(found, distinct["fingerprint"] == found["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    named = stored(named, "named")
+    named = rooted(rows, reach)
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fingerprint = named.join(ids, "root").select("fingerprint", "component_id")
     return rows.join(by_fingerprint, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For a similarity of whole shingle sets: 64-bit words of a fingerprint, minima and minima a key.
+WIDE_WORDS, MINIMA, KEY_MINIMA = 8, 36, 3
+MIX = [(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1, 0xD1B54A32D192ED03 * (i + 7) % (1 << 64)) for i in range(WIDE_WORDS + MINIMA)]
+
+
+def bits_apart(similarity: float) -> int:
+    """Differing bits of wide fingerprints at a Jaccard similarity, with one standard deviation of slack."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = np.arccos(cosine) / np.pi
+    return int(64 * WIDE_WORDS * share + np.sqrt(64 * WIDE_WORDS * share * (1 - share)))
+
+
+def mixed(hashes: np.ndarray, i: int) -> np.ndarray:
+    x = (hashes ^ np.uint64(MIX[i][1])) * np.uint64(MIX[i][0])
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def wide_prints(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints (rows of WIDE_WORDS words) of the sets of shingles, and block keys made of KEY_MINIMA minima each."""
+    prints = np.zeros((len(texts), WIDE_WORDS), np.uint64)
+    keys = np.zeros((len(texts), MINIMA // KEY_MINIMA), np.uint64)
+    held: list[np.ndarray] = []
+    rows: list[int] = []
+
+    def settle() -> None:
+        if not rows:
+            return
+        hashes, starts = np.concatenate(held), np.cumsum([0] + [len(x) for x in held[:-1]])
+        for w in range(WIDE_WORDS):
+            prints[rows, w] = majority(mixed(hashes, w), starts)
+        least = [np.minimum.reduceat(mixed(hashes, WIDE_WORDS + i), starts) for i in range(MINIMA)]
+        for j in range(keys.shape[1]):
+            own = np.full(len(rows), j, np.uint64)
+            for x in least[j * KEY_MINIMA : (j + 1) * KEY_MINIMA]:
+                own = mixed(own ^ x, 0)
+            keys[rows, j] = own
+        held.clear(), rows.clear()
+
+    count = 0
+    for i, text in enumerate(texts):
+        found = np.unique(np.array(shingle_hashes(text, size) or [0], np.uint64))
+        rows.append(i), held.append(found)
+        count += len(found)
+        if count >= HASHES_AT_ONCE // 4:
+            settle()
+            count = 0
+    settle()
+    return prints, keys
+
+
+def block_links(points: np.ndarray, reach: int) -> np.ndarray:
+    """For each point of a block (rows of words) the first point of its group of links.
+
+    Groups grow from their first point. Distances from it, a vantage point, bound the others: only points whose
+    distance from it differs by ``reach`` at most are compared. A group of near-copies is taken in by its first point at
+    once, so its pairs are not gone through.
+    """
+    first = np.arange(len(points))
+    left = np.arange(len(points))
+    while len(left) > 1:
+        far = np.bitwise_count(points[left] ^ points[left[0]]).sum(1, dtype=np.int32)
+        near = far <= reach
+        todo, todo_far = [left[near]], [far[near]]
+        lead, left, far = left[0], left[~near], far[~near]
+        while todo:
+            own, own_far = todo.pop(), todo_far.pop()
+            first[own] = lead
+            for i in range(0, len(own), 256):
+                if not len(left):
+                    break
+                low, high = own_far[i : i + 256].min() - reach, own_far[i : i + 256].max() + reach
+                here = np.flatnonzero((far >= low) & (far <= high))
+                found = np.zeros(len(left), bool)
+                for j in range(0, len(here), 2048):
+                    some = here[j : j + 2048]
+                    apart = np.zeros((len(own[i : i + 256]), len(some)), np.int32)
+                    for w in range(points.shape[1]):
+                        apart += np.bitwise_count(points[own[i : i + 256], w][:, None] ^ points[left[some], w][None, :])
+                    found[some] = (apart <= reach).any(0)
+                if found.any():
+                    todo.append(left[found]), todo_far.append(far[found])
+                    left, far = left[~found], far[~found]
+    return first
+
+
+def similar_links(rows: DataFrame, reach: int) -> DataFrame:
+    """Links a, b between texts (column k) of one block; rows: k, print, keys."""
+
+    def settle(points: list[bytes], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = np.frombuffer(b"".join(points), np.uint64).reshape(len(points), -1)
+        first = block_links(words, reach)
+        linked = np.flatnonzero(first != np.arange(len(first)))
+        return names[linked], names[first[linked]]
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, points, names, a, b, held = None, [], [], [], [], 0
+        for batch in batches:
+            keys, own, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
+            for i, j in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[i] != key and names:
+                    x, y = settle(points, np.concatenate(names))
+                    a.append(x), b.append(y)
+                    held += len(x)
+                    points, names = [], []
+                key = keys[i]
+                points += prints[i:j]
+                names.append(own[i:j])
+            if held > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                a, b, held = [], [], 0
+        if names:
+            x, y = settle(points, np.concatenate(names))
+            a.append(x), b.append(y)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    blocks = rows.select("k", "print", F.explode("keys").alias("key"))
+    shared = blocks.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
+    return blocks.join(shared, "key").select("key", "k", "print").repartition("key").sortWithinPartitions("key", "k").mapInArrow(link, "a long, b long")
+
+
+def near_deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, all columns, for each group of texts that links of ``similarity`` or more join: the smallest doc_id.
+
+    Similarity is the Jaccard similarity of sets of shingles, as wide fingerprints measure it: at 0.8 and 64 bits, near
+    texts are 10 bits apart and others 32 with a deviation of 4, so borders of a tree within so wide a reach part
+    nothing. Texts therefore meet in blocks, by KEY_MINIMA equal minima (a pair of similarity 0.8 shares none of the 12
+    keys with a chance of 2 in 10,000), and vantage-point bounds serve within blocks. Of texts that are equal but for
+    doc_id one stays; repeated rows count as one text and stay or go together; texts without words are one group.
+    """
+
+    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, keys = wide_prints(batch.column(2).to_pylist(), shingle)
+            listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in prints], pa.binary()), listed], names=["doc_id", "k", "print", "keys"])
+
+    ready(docs.sparkSession)
+    own = {"doc_id": F.col(id_col).cast("long"), "k": F.xxhash64(whole(text_col))}
+    rows = docs.select(*[x.alias(n) for n, x in own.items()], whole(text_col).alias("text")).mapInArrow(apply, "doc_id long, k long, print binary, keys array<long>")
+    rows = stored(rows, "prints")
+    links = components(similar_links(rows.dropDuplicates(["k"]), bits_apart(similarity)))
+    grouped = stored(rows.select("doc_id", "k").join(links, F.col("k") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "k").alias("root")), "grouped")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
+    first = grouped.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    dropped = grouped.join(first, "root").filter(order != F.col("first")).select("doc_id", "k")
+    return without(docs, dropped, own)

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import ready, whole
 
@@ -171,22 +172,29 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, id_col: s
     return Model(np.array(found[0].places, np.int64), np.array(found[0].weights, np.float32), found[0].bias) if found else None
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in keep, and score: the chance of label 1."""
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in keep, and score: the chance of label 1."""
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer() if model is not None else lambda texts: np.zeros(len(texts))
         for batch in batches:
             scores = scorer(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1 - ("text" in keep) :], pa.array(scores, pa.float64())], names=[*batch.schema.names[1 - ("text" in keep) :], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     ready(docs.sparkSession)
-    rows = docs.select(whole(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), *[x for x in keep if x not in ("text", "doc_id")])
-    out = rows.schema if "text" in keep else rows.drop("text").schema
-    return rows.mapInArrow(apply, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in out)}, score double")
+    rows = docs.select(whole(text_col).alias("scored text"), *keep)
+    return rows.mapInArrow(apply, StructType([*rows.schema.fields[1:], StructField("score", DoubleType())]))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = 8000) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no name can clash with the score's
+    model = train(docs, labels, sample_rows)
+    scored = score(docs.toDF(*names), model, names[docs.columns.index("text")], tuple(names))
+    return scored.filter(F.col("score") < threshold).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = 8000) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
-    scored = score(docs, train(docs, labels, sample_rows))
+    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels, sample_rows))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

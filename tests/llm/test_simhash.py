@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 from fathomline.llm import simhash
-from fathomline.llm.simhash import near_components
+from fathomline.llm.simhash import near_components, near_deduplicated
 
 TEXTS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 
@@ -77,3 +77,28 @@ def test_tree_finds_every_pair(monkeypatch):
 
 def test_empty_table(spark):
     assert near_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_deduplicated(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, groups = [], []
+    for g in range(30):
+        base = [word() for _ in range(300)]
+        groups.append([])
+        for _ in range(rng.choice([1, 2, 6])):
+            copy = list(base)
+            for _ in range(rng.choice([1, 4])):
+                copy[rng.randrange(300)] = word()
+            groups[-1].append(len(rows))
+            rows.append((len(rows), " ".join(copy), "s"))
+        half = len(rows)
+        rows.append((half, " ".join(base[:150] + [word() for _ in range(150)]), "s"))  # a third in common
+    rows += [(1000, None, "s"), (1001, "", "s"), (1002, "one word", "s"), (None, "one word", "s"), (1003, rows[0][1], "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k string")
+    kept = near_deduplicated(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(x.doc_id for x in kept.collect())
+    gone = {i for group in groups for i in group[1:]} | {1001, 1003}
+    assert ids == sorted(i for i, _, _ in rows if i is not None and i not in gone)
+    assert near_deduplicated(docs.limit(0)).count() == 0
