@@ -489,3 +489,84 @@ def registry_latest(spark, d):
 @query("label_todo", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def label_todo(spark, d):
     return M.not_done(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+
+
+# --- kernels: SQL can't express these; tests hold them against analytic cases -------------------------------------------
+
+
+def numbered_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).select(F.col("frame").cast("long").alias("frame"), "r", "c", "v")
+
+
+@query("components_8")
+def components_8(spark, d):
+    from ..operators import kernels as K
+
+    rows = K.on_frames(numbered_pixels(spark, d), lambda x: K.components8(x >= 60))
+    return rows.filter("v > 0").groupBy("frame", F.col("v").cast("long").alias("label")).agg(F.count("*").alias("area"), F.min("r").alias("y1"), F.min("c").alias("x1"), F.max("r").alias("y2"), F.max("c").alias("x2"))
+
+
+@query("edge_density")
+def edge_density(spark, d):
+    from ..operators import kernels as K
+
+    return K.on_frames(numbered_pixels(spark, d), K.edges).groupBy("frame").agg(r6(F.avg("v")).alias("edge_density"))
+
+
+@query("contrast_clahe")
+def contrast_clahe(spark, d):
+    from ..operators import kernels as K
+
+    flat = R.stretched(pixels(spark, d)).select(F.col("frame").cast("long").alias("frame"), "r", "c", "v")
+    return K.on_frames(flat, K.equalized)
+
+
+@query("anomaly_map")
+def anomaly_map(spark, d):
+    from ..operators import kernels as K
+
+    return K.on_frames(numbered_pixels(spark, d), lambda x: K.anomaly_map(x, lambda y: K.smoothed(y, 2.0), 64, 1.0)).select("frame", "r", "c", r6("v").alias("v"))
+
+
+@query("anomaly_candidates")
+def anomaly_candidates(spark, d):
+    import numpy as np
+
+    from ..operators import kernels as K
+
+    def boxes(x: np.ndarray) -> np.ndarray:
+        found = K.candidates(x, 60, morph=3, least_area=4)
+        return np.array([[b["x1"], b["y1"], b["x2"], b["y2"], b["area"], b["peak"], b["mean"]] for b in found] or np.zeros((0, 7)))
+
+    rows = K.on_frames(numbered_pixels(spark, d), boxes)
+    return rows.groupBy("frame", F.col("r").alias("candidate")).pivot("c", list(range(7))).agg(F.first("v")).toDF("frame", "candidate", "x1", "y1", "x2", "y2", "area", "peak", "mean")
+
+
+@query("survey_preprocess")
+def survey_preprocess(spark, d):
+    from . import survey
+
+    rows = pixels(spark, d).groupBy(F.col("frame").cast("string").alias("frame"), F.col("r").cast("int").alias("ping")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda x: x["v"]).alias("samples"))
+    out = survey.run(rows, {"tiling": {"size": 32}})
+    return out.qualities.select("tile", r6("score").alias("score"), "flag")
+
+
+@query("jsf_scan")
+def jsf_scan(spark, d):
+    import struct
+
+    import pyarrow as pa
+
+    from ..sources import readers
+
+    def files(batches):
+        for batch in batches:
+            out = []
+            for ping, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                body = bytearray(240) + struct.pack(f"<{len(x)}h", *[int(v * 10000) for v in x])
+                struct.pack_into("<H", body, 114, len(x))
+                out.append(struct.pack("<HBBHBBBBHI", 0x1601, 0, 0, 80, 0, 0, 0, 0, 0, len(body)) + bytes(body))
+            yield pa.RecordBatch.from_pydict({"path": batch.column(0).cast(pa.string()), "content": pa.array(out, pa.binary())})
+
+    made = relation(spark, d, "samples").select("ping", "x").mapInArrow(files, "path string, content binary")
+    return readers.parsed(made, readers.jsf_pings).select(F.col("frame").cast("long").alias("frame"), "ping", F.size("starboard").alias("n"), F.aggregate("starboard", F.lit(0.0), lambda a, v: a + v).alias("total"))

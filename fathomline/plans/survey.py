@@ -1,4 +1,4 @@
-"""The preprocessing plan of a survey: steps in one fixed order, each can be left out, lazily composed.
+"""The preprocessing plan of a survey: steps in one fixed order, each can be left out, each computed once.
 
 A frame's mask travels with its pings; masked samples are zero after the nadir step only, as later steps work on whole
 images. With contrast off, samples are clipped to 0..255 at the end.
@@ -16,6 +16,7 @@ from ..functions import arrays as A
 from ..operators import kernels as K
 from ..operators import raster as R
 from ..operators import series as S
+from ..session import materialized
 
 STEPS = ("bottom", "slant", "nadir", "gain", "despeckle", "contrast", "quality", "tiling")
 #: Thresholds of the steps. Fixed values.
@@ -65,7 +66,7 @@ def run(pings: DataFrame, config: dict | None = None, enabled: dict[str, bool] |
 
     def done(step: str, rows: DataFrame) -> DataFrame:
         out.steps.append(step)
-        return rows
+        return rows if step in ("slant", "quality") else materialized(rows)
 
     if on("bottom"):
         rows = done("bottom", tracked(rows, c["bottom"]))
@@ -81,14 +82,14 @@ def run(pings: DataFrame, config: dict | None = None, enabled: dict[str, bool] |
         rows = done("despeckle", imploded(rows, R.despeckled(exploded(rows), **c["despeckle"])))
     if on("contrast"):
         k = c["contrast"]
-        flat = R.stretched(exploded(rows), k["low"], k["high"])
+        flat = materialized(R.stretched(exploded(rows), k["low"], k["high"]))
         clip, grid = k["clip"], k["grid"]
         rows = done("contrast", imploded(rows, K.on_frames(_numbered(flat), lambda x: K.equalized(x, clip, grid)).transform(_named(flat))))
     else:
         rows = rows.withColumn("samples", F.transform("samples", lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))).cast("double")))
     out.pings = rows
     if on("quality") or on("tiling"):
-        out.tiles = R.tiles(exploded(rows), **c["tiling"])
+        out.tiles = materialized(R.tiles(exploded(rows), **c["tiling"]))
     if on("quality"):
         keyed = out.tiles.select(F.concat_ws("#", "frame", "tile").alias("frame"), "r", "c", "v")
         density = K.on_frames(_numbered(keyed), lambda x: np.array([[K.edge_density(x)]])).transform(_named(keyed)).select("frame", F.col("v").alias("edge_density"))
