@@ -142,7 +142,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, id_
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 packer.add(doc_id, np.frombuffer(ids, kind))
-                if len(packer.done) >= 1000:
+                if len(packer.done) >= 200:
                     yield made(packer.done)
                     packer.done = []
         packer.finish()

@@ -21,7 +21,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: White space that the tokenizer's own rule does not count as such, though str.split() does. Fixed value.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Entries that a cache may hold before it becomes the old one.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 
 class Aging(dict):

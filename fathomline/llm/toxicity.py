@@ -33,7 +33,7 @@ LEAST_Z = 4.0
 SMOOTHING, PENALTY, STEPS = 1.0, 1e-4, 400
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 #: Bytes that n-grams are hashed at a time.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
