@@ -121,7 +121,7 @@ def star_order(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
         first = np.maximum.accumulate(np.where(new, np.arange(len(active)), 0))
         rank[active] = rank[active] + (first - start)
         at += 8
-        active = active[size[active] > at]
+        active = active[size[active] >= at]  # one that ends here still has to go after those that go on
         if len(active):
             active = active[np.argsort(rank[active], kind="stable")]
     ended = text[stars] == 0

@@ -48,3 +48,12 @@ def test_long_common_prefixes():
     base = bytes(random.Random(3).choice(b"abcdef ") for _ in range(600))
     strings = [base, base[100:], b"x" + base[200:], base[:300] + b"q"]
     assert [c for _, c in induced(strings)] == [c for _, c in plain(strings)]
+
+
+def test_substrings_that_end_at_a_word():
+    """S* substrings of exactly 8 or 16 symbols, of which one is the beginning of another."""
+    rng = random.Random(6)
+    parts = [b"abcdefgd", b"abcdefgde", b"abcdefgdc", b"abcdefghijklmnod", b"abcdefghijklmnodc", b"abcdefghijklmnode", b"ab", b"hg"]
+    for _ in range(60):
+        strings = [b"".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(6)]
+        assert [c for _, c in induced(strings)] == [c for _, c in plain(strings)]
