@@ -16,6 +16,7 @@ never the smallest. An empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, stored, whole, without
+from .common import FEW_KEYS, ready, stored, whole, without
 from .components import components, stars
 
 SEED = 42
@@ -220,15 +221,19 @@ def near_components(docs: DataFrame, shingle: int = 3, reach: int = 2, id_col: s
 
 
 #: For a similarity of whole shingle sets: 64-bit words of a fingerprint, minima and minima a key.
-WIDE_WORDS, MINIMA, KEY_MINIMA = 8, 36, 3
+WIDE_WORDS, MINIMA, KEY_MINIMA = 8, 48, 3
+#: Standard deviations of slack that fingerprints get: they only propose, and those of the smallest sets scatter more.
+SLACK = 8
+#: Hashes of a proposed group that are held in memory (more go to a file of the task), and those compared at a time.
+HASHES_HELD, HASHES_COMPARED = 1 << 23, 1 << 20
 MIX = [(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1, 0xD1B54A32D192ED03 * (i + 7) % (1 << 64)) for i in range(WIDE_WORDS + MINIMA)]
 
 
 def bits_apart(similarity: float) -> int:
-    """Differing bits of wide fingerprints at a Jaccard similarity, with one standard deviation of slack."""
+    """Differing bits of wide fingerprints at a Jaccard similarity, with SLACK standard deviations."""
     cosine = 2 * similarity / (1 + similarity)
     share = np.arccos(cosine) / np.pi
-    return int(64 * WIDE_WORDS * share + np.sqrt(64 * WIDE_WORDS * share * (1 - share)))
+    return int(64 * WIDE_WORDS * share + SLACK * np.sqrt(64 * WIDE_WORDS * share * (1 - share)))
 
 
 def mixed(hashes: np.ndarray, i: int) -> np.ndarray:
@@ -343,14 +348,98 @@ def similar_links(rows: DataFrame, reach: int) -> DataFrame:
     return blocks.join(shared, "key").select("key", "k", "print").repartition("key").sortWithinPartitions("key", "k").mapInArrow(link, "a long, b long")
 
 
+def shared_counts(own: np.ndarray, sets: np.ndarray, starts: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many hashes of ``own`` (in order) each of the other sets has; set i is sets[starts[i] : starts[i + 1]]."""
+    out = np.zeros(len(others), np.int64)
+    ends = np.cumsum(starts[others + 1] - starts[others])
+    i = 0
+    while i < len(others):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + HASHES_COMPARED, "right")))
+        some = np.concatenate([sets[starts[x] : starts[x + 1]] for x in others[i:j]])
+        at = np.minimum(np.searchsorted(own, some), len(own) - 1)
+        sizes = starts[others[i:j] + 1] - starts[others[i:j]]
+        out[i:j] = np.add.reduceat(own[at] == some, np.cumsum(sizes) - sizes, dtype=np.int64)
+        i = j
+    return out
+
+
+def exact_groups(sets: np.ndarray, starts: np.ndarray, points: np.ndarray, similarity: float, reach: int) -> np.ndarray:
+    """For each text of a proposed group the first text of its group of links of ``similarity`` or more, counted exactly."""
+    sizes = np.diff(starts)
+    first = np.arange(len(points))
+    left = np.arange(len(points))
+    while len(left) > 1:
+        lead, left = left[0], left[1:]
+        todo = [lead]
+        while todo and len(left):
+            own = todo.pop()
+            near = np.bitwise_count(points[left] ^ points[own]).sum(1, dtype=np.int32) <= reach
+            near &= np.minimum(sizes[left], sizes[own]) / np.maximum(sizes[left], sizes[own]) >= similarity
+            near = np.flatnonzero(near)
+            shared = shared_counts(sets[starts[own] : starts[own + 1]], sets, starts, left[near])
+            joined = near[shared / (sizes[left[near]] + sizes[own] - shared) >= similarity]
+            first[left[joined]] = lead
+            todo += left[joined].tolist()
+            left = np.delete(left, joined)
+    return first
+
+
+def exact_links(texts: DataFrame, proposed: DataFrame, shingle: int, similarity: float, reach: int) -> DataFrame:
+    """node, root for every text with a link of ``similarity`` or more; texts: k, text; proposed: k, print and root of a proposed group.
+
+    The texts of a proposed group meet once in one task, which makes their sets of shingles.
+    """
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, names, points, sizes, held, count, file = None, [], [], [], [], 0, None
+
+        def settle() -> pa.RecordBatch:
+            sets = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            if file:
+                file.write(sets.tobytes())
+                file.flush()
+                sets = np.memmap(file, np.uint64, "r")
+            words, starts = np.frombuffer(b"".join(points), np.uint64).reshape(len(points), -1), np.cumsum([0, *sizes])
+            first, own = exact_groups(sets, starts, words, similarity, reach), np.array(names, np.int64)
+            linked = np.flatnonzero(first != np.arange(len(first)))
+            return pa.RecordBatch.from_arrays([pa.array(own[linked]), pa.array(own[first[linked]])], names=["node", "root"])
+
+        for batch in batches:
+            for group, k, point, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if group != root:
+                    if len(names) > 1:
+                        yield settle()
+                    if file:
+                        file.close()
+                    root, names, points, sizes, held, count, file = group, [], [], [], [], 0, None
+                if names and names[-1] == k:
+                    continue
+                found = np.unique(np.array(shingle_hashes(text, shingle) or [0], np.uint64))
+                names.append(k), points.append(point), sizes.append(len(found)), held.append(found)
+                count += len(found)
+                if count > HASHES_HELD:
+                    file = file or tempfile.TemporaryFile()
+                    file.write(np.concatenate(held).tobytes())
+                    held, count = [], 0
+        if len(names) > 1:
+            yield settle()
+        if file:
+            file.close()
+
+    few = F.broadcast(proposed) if proposed.count() <= FEW_KEYS else proposed
+    rows = texts.join(few, "k").select("root", "k", "print", "text")
+    return rows.repartition("root").sortWithinPartitions("root", "k").mapInArrow(link, "node long, root long")
+
+
 def near_deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs, all columns, for each group of texts that links of ``similarity`` or more join: the smallest doc_id.
 
-    Similarity is the Jaccard similarity of sets of shingles, as wide fingerprints measure it: at 0.8 and 64 bits, near
-    texts are 10 bits apart and others 32 with a deviation of 4, so borders of a tree within so wide a reach part
-    nothing. Texts therefore meet in blocks, by KEY_MINIMA equal minima (a pair of similarity 0.8 shares none of the 12
-    keys with a chance of 2 in 10,000), and vantage-point bounds serve within blocks. Of texts that are equal but for
-    doc_id one stays; repeated rows count as one text and stay or go together; texts without words are one group.
+    Similarity is the Jaccard similarity of sets of shingles, counted exactly. At 0.8 and 64 bits, near texts are 10 bits
+    apart and others 32 with a deviation of 4, so borders of a tree within so wide a reach part nothing. Texts therefore
+    meet in blocks, by KEY_MINIMA equal minima (a pair of similarity 0.8 shares none of the 16 keys with a chance of 1 in
+    100,000). Wide fingerprints with SLACK deviations and vantage-point bounds propose groups within blocks; the sets of
+    a proposed group's texts decide its links. Of texts that are equal but for doc_id one stays; repeated rows count as
+    one text and stay or go together; texts without words are one group.
     """
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +452,11 @@ def near_deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     own = {"doc_id": F.col(id_col).cast("long"), "k": F.xxhash64(whole(text_col))}
     rows = docs.select(*[x.alias(n) for n, x in own.items()], whole(text_col).alias("text")).mapInArrow(apply, "doc_id long, k long, print binary, keys array<long>")
     rows = stored(rows, "prints")
-    links = components(similar_links(rows.dropDuplicates(["k"]), bits_apart(similarity)))
+    reach = bits_apart(similarity)
+    proposed = components(similar_links(rows.dropDuplicates(["k"]), reach))
+    roots = proposed.unionByName(proposed.select(F.col("root").alias("node"), "root").distinct())
+    proposed = stored(rows.dropDuplicates(["k"]).select("k", "print").join(roots, F.col("k") == F.col("node")).select("k", "print", "root"), "proposed")
+    links = exact_links(docs.select(own["k"].alias("k"), whole(text_col).alias("text")), proposed, shingle, similarity, reach)
     grouped = stored(rows.select("doc_id", "k").join(links, F.col("k") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "k").alias("root")), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
     first = grouped.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1")

@@ -102,3 +102,34 @@ def test_near_deduplicated(spark):
     gone = {i for group in groups for i in group[1:]} | {1001, 1003}
     assert ids == sorted(i for i, _, _ in rows if i is not None and i not in gone)
     assert near_deduplicated(docs.limit(0)).count() == 0
+
+
+def test_near_deduplicated_around_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HASHES_COMPARED", 500)
+    rng = random.Random(21)
+    rows = []
+    for g in range(160):  # pairs and triples with similarities of about 0.7 to 0.9, far apart from other groups
+        size = rng.choice([8, 9, 60, 300, 600])
+        base = [f"g{g}w{i}" for i in range(size)]
+        rows.append(" ".join(base))
+        for _ in range(rng.choice([1, 1, 2])):
+            copy = list(base)
+            for i in rng.sample(range(size), max(1, round(size * rng.uniform(0.012, 0.036)))):
+                copy[i] = f"g{g}x{rng.randrange(10**6)}"
+            rows.append(" ".join(copy if size > 9 else base + [f"g{g}y"]))
+    sets = [{t.split()[i : i + 5].__str__() for i in range(len(t.split()) - 4)} for t in rows]
+    pairs = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in range(len(rows)) for b in range(a + 1, min(a + 3, len(rows)))]
+    assert sum(0.75 <= j < 0.8 for *_, j in pairs) > 15 and sum(0.8 <= j < 0.85 for *_, j in pairs) > 15
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b, j in pairs:
+        if j >= 0.8:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    kept = near_deduplicated(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == [i for i in range(len(rows)) if find(i) == i]
