@@ -12,6 +12,7 @@ from fathomline.operators import manifest as M
 from fathomline.operators import raster as R
 from fathomline.operators import series as S
 from fathomline.plans import survey
+from fathomline.plans.relations import relation
 from fathomline.sources import readers
 from fathomline.streaming import altitude
 from pyspark.sql import functions as F
@@ -236,3 +237,10 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
     assert [x.clamped for x in spark.table("clamped").orderBy("i").collect()] == [10, 10, 25, 25, 10, 10, 10, 10]
     assert sum(x.n_known for x in spark.table("windowed").collect()) == 7
+
+
+def test_every_order_is_a_box(spark):
+    folder = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    for name, same in (("boxes_det", F.col("o_orderstatus") == "O"), ("boxes_ano", F.col("o_orderstatus") != "O")):
+        assert {x.id for x in relation(spark, folder, name).collect()} == {x.o_orderkey for x in orders.filter(same).collect()}
