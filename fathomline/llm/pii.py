@@ -10,7 +10,9 @@ gets one surrogate, so all its mentions agree (coreference), in each mention's o
 * given names keep their gender (by the form of address or the name) and names keep their script.
 
 The first 128 hex digits of SHA-512 over key, kind, core and attempt choose a surrogate. A surrogate that another core has,
-or that is itself a core of the corpus, is refused and the next attempt is tried, until all are distinct.
+or that is itself a core of the corpus, is refused and the next attempt is tried, until all are distinct; names and e-mail
+addresses get longer with the attempts, so they never run out. Private IPv4 addresses and phone numbers of up to eight
+digits have small spaces: a keyed permutation without fixed points serves there, and other cores are not refused.
 
 Null text counts as empty; the replaced text depends on the text alone, so repeated rows and rows with a null doc_id are
 treated alike; an empty table gives an empty result; columns other than those named are ignored.
@@ -56,6 +58,8 @@ ENDINGS = {
 }
 LETTERS = {"[a-z]": (97, 26), "[A-Z]": (65, 26), "[0-9]": (48, 10), "[а-яё]": (1072, 32), "[А-ЯЁ]": (1040, 32), "[α-ω]": (945, 17), "[Α-Ω]": (913, 17)}
 MOST_ATTEMPTS = 64
+#: Attempts after which a surrogate gets longer, digits of the phone numbers that are permuted, and rounds of a permutation.
+ATTEMPTS_A_LENGTH, SHORT_PHONE, ROUNDS = 4, 8, 6
 
 
 def chars(text: Column) -> Column:
@@ -96,23 +100,67 @@ def card(core: Column, stream: Column) -> Column:
     return F.concat(made, F.when(luhn(core) == 0, check).otherwise((check + 1 + byte(stream, F.lit(63)) % 9) % 10).cast("string"))
 
 
-def address(core: Column, stream: Column) -> Column:
-    """An IPv4 address, of the same private network if core is in one."""
+def network(core: Column) -> Column:
+    """How many parts of an IPv4 address tell its private network; 0 outside of them."""
     part = F.split(core, r"\.")
     first, second = part[0].cast("int"), part[1].cast("int")
+    return F.when(first.isin(10, 127), 1).when((first == 192) & (second == 168) | (first == 172) & second.between(16, 31) | (first == 169) & (second == 254), 2).otherwise(0)
+
+
+def closed(kind: Column, core: Column) -> Column:
+    """Whether a core's space is so small that its surrogate comes from a permutation of it."""
+    return ((kind == "ip") & (network(core) > 0)) | ((kind == "phone") & (F.length(core) <= SHORT_PHONE))
+
+
+def permuted(value: Column, high: Column, low: Column, key: Column) -> Column:
+    """A keyed permutation of 0 .. high * low - 1 that leaves no value in its place: permute, add an amount, permute back."""
+    turn = lambda i, half: F.conv(F.substring(F.sha2(F.concat_ws("|", key, i.cast("string"), half.cast("string")), 256), 1, 8), 16, 10).cast("long")
+    state = lambda h, lo: F.struct(h.cast("long").alias("h"), lo.cast("long").alias("lo"))
+
+    def rounds(order: list[int], start: Column, sign: int) -> Column:
+        def step(x: Column, i: Column) -> Column:
+            even = i % 2 == 0
+            moved = F.when(even, x["h"] + sign * turn(i, x["lo"])).otherwise(x["lo"] + sign * turn(i, x["h"]))
+            return state(F.when(even, F.pmod(moved, high.cast("long"))).otherwise(x["h"]), F.when(even, x["lo"]).otherwise(F.pmod(moved, low.cast("long"))))
+
+        return F.aggregate(F.array(*map(F.lit, order)), start, step)
+
+    amount = turn(F.lit(ROUNDS), F.lit("amount")) % (high * low - 1) + 1
+    halves = lambda v: state(F.floor(v / low), v % low)
+    mixed = let(rounds(list(range(ROUNDS)), halves(value), 1), lambda x: (x["h"] * low + x["lo"] + amount) % (high * low))
+    return let(let(mixed, lambda v: rounds(list(range(ROUNDS))[::-1], halves(v), -1)), lambda x: x["h"] * low + x["lo"])
+
+
+def address(core: Column, stream: Column, key: str) -> Column:
+    """An IPv4 address, of the same private network if core is in one."""
+    part = F.split(core, r"\.")
     new = [(byte(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]
-    one = F.when(first.isin(10, 127), 1).when((first == 192) & (second == 168) | (first == 172) & second.between(16, 31) | (first == 169) & (second == 254), 2).otherwise(0)
     outside = (byte(stream, F.lit(0)) % 80 + 20).cast("string")  # 20 to 99: no private network
-    return F.concat_ws(".", F.when(one > 0, part[0]).otherwise(outside), F.when(one > 1, part[1]).otherwise(new[1]), new[2], new[3])
+    kept = network(core)
+    value = F.when(kept == 1, part[1].cast("long") * 65536).otherwise(F.lit(0).cast("long")) + part[2].cast("long") * 256 + part[3].cast("long")
+    side = F.when(kept == 1, 4096).otherwise(256).cast("long")
+    secret = F.concat_ws("|", F.lit(key), F.lit("ip"), part[0], F.when(kept == 2, part[1]).otherwise(""))
+    text = lambda v, unit: (F.floor(v / unit) % 256).cast("string")
+    inside = let(permuted(value, side, side, secret), lambda v: F.concat_ws(".", part[0], F.when(kept == 2, part[1]).otherwise(text(v, 65536)), text(v, 256), text(v, 1)))
+    return F.when(kept > 0, inside).otherwise(F.concat_ws(".", outside, *new[1:]))
+
+
+def short_phone(core: Column, key: str) -> Column:
+    low = F.pow(F.lit(10), F.floor(F.length(core) / 2)).cast("long")
+    high = F.pow(F.lit(10), F.length(core) - F.floor(F.length(core) / 2)).cast("long")
+    secret = F.concat_ws("|", F.lit(key), F.lit("phone"), F.length(core).cast("string"))
+    return F.lpad(permuted(core.cast("long"), high, low, secret).cast("string"), F.length(core), F.lit("0"))
 
 
-def name(core: Column, kind: Column, stream: Column) -> Column:
+def name(core: Column, kind: Column, stream: Column, longer: Column) -> Column:
+    """A name of core's script and kind, with ``longer`` more syllables."""
     script = F.when(core.rlike("[а-яё]"), "cyrillic").when(core.rlike("[α-ωά-ώ]"), "greek").otherwise("latin")
     out = F.lit(None).cast("string")
     for (letters, which), endings in ENDINGS.items():
         parts = F.array(*map(F.lit, SYLLABLES[letters]))
         body = [F.element_at(parts, byte(stream, F.lit(i)) % len(SYLLABLES[letters]) + 1) for i in range(3)]
         body[2] = F.when(byte(stream, F.lit(9)) % 2 == 0, body[2]).otherwise("")
+        body += [F.when(longer > i, F.element_at(parts, byte(stream, F.lit(16 + i)) % len(SYLLABLES[letters]) + 1)).otherwise("") for i in range(MOST_ATTEMPTS // ATTEMPTS_A_LENGTH)]
         out = F.when((script == letters) & (kind == which), F.concat(*body, F.element_at(F.array(*map(F.lit, endings)), byte(stream, F.lit(5)) % len(endings) + 1))).otherwise(out)
     return out
 
@@ -120,19 +168,22 @@ def name(core: Column, kind: Column, stream: Column) -> Column:
 def surrogate(key: str) -> Column:
     """The surrogate for columns kind, core and attempt."""
     kind, core = F.col("kind"), F.col("core")
+    longer = F.floor(F.col("attempt") / ATTEMPTS_A_LENGTH).cast("int")
     stream = F.sha2(F.concat_ws("|", F.lit(key), kind, core, F.col("attempt").cast("string")), 512)
 
     def of(stream: Column) -> Column:
         domain_end = F.length(F.regexp_extract(core, r"\.[^.]*$", 0))
-        email = F.concat(reshaped(F.substring(core, F.lit(1), F.length(core) - domain_end), stream, F.lit(0)), F.substring(core, F.length(core) - domain_end + 1, domain_end))
+        more = F.substring(F.translate(F.substring(stream, 65, 64), "0123456789", "ghijklmnop"), F.lit(1), longer)
+        email = F.concat(more, reshaped(F.substring(core, F.lit(1), F.length(core) - domain_end), stream, F.lit(0)), F.substring(core, F.length(core) - domain_end + 1, domain_end))
         return (
             F.when(kind == "email", email)
-            .when(kind == "ip", address(core, stream))
+            .when(kind == "ip", address(core, stream, key))
             .when(kind == "card", card(core, stream))
+            .when((kind == "phone") & closed(kind, core), short_phone(core, key))
             .when(kind == "phone", reshaped(core, stream, F.greatest(F.lit(0), F.length(core) - 10)))
             .when(kind == "iban", reshaped(core, stream, F.lit(2)))
             .when(kind == "ssn", reshaped(core, stream, F.lit(0)))
-            .otherwise(name(core, kind, stream))
+            .otherwise(name(core, kind, stream, longer))
         )
 
     return let(stream, of)
@@ -191,7 +242,7 @@ def space_of(kind: Column) -> Column:
 def assigned(entities: DataFrame, key: str) -> DataFrame:
     """kind, core and a distinct surrogate for every row of entities (distinct kind and core)."""
     entities = stored(entities.withColumn("space", space_of(F.col("kind"))), "entities")
-    cores = entities.select("space", F.col("core").alias("surrogate")).distinct()
+    cores = entities.filter(~closed(F.col("kind"), F.col("core"))).select("space", F.col("core").alias("surrogate")).distinct()
     open_rows, done = entities.withColumn("attempt", F.lit(0)), None
     for _ in range(MOST_ATTEMPTS):
         tried = open_rows.withColumn("surrogate", surrogate(key))

@@ -2,7 +2,10 @@
 
 import re
 
-from fathomline.llm.pii import pseudonymized
+import pytest
+
+from fathomline.llm import pii
+from fathomline.llm.pii import assigned, pseudonymized
 
 
 def luhn(digits):
@@ -57,3 +60,21 @@ def test_key_and_empty(spark):
     assert pseudonymized(docs, "one").first().text != pseudonymized(docs, "two").first().text
     assert pseudonymized(docs, "one").first().text == pseudonymized(docs, "one").first().text
     assert pseudonymized(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["ip", "phone", "surname", "email"])
+def test_any_number_of_entities(spark, monkeypatch, kind):
+    monkeypatch.setattr(pii, "MOST_ATTEMPTS", 12)
+    monkeypatch.setattr(pii, "SYLLABLES", {x: ["ba", "be", "bo", "da"] for x in pii.SYLLABLES})
+    cores = {
+        "ip": [f"192.168.{a}.{b}" for a in range(256) for b in range(256)],
+        "phone": [f"{i:06d}" for i in range(0, 1_000_000, 20)] + [f"{i:06d}" for i in range(7, 1_000_000, 20)],
+        "surname": [f"name{i}" for i in range(900)],
+        "email": [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"],
+    }[kind]
+    found = assigned(spark.createDataFrame([(kind, c) for c in cores], "kind string, core string"), "key").collect()
+    assert {x.core for x in found} == set(cores) and len({x.surrogate for x in found}) == len(found) == len(cores)
+    assert all(x.core != x.surrogate for x in found)
+    if kind in ("ip", "phone"):
+        shape = r"192\.168\.\d{1,3}\.\d{1,3}" if kind == "ip" else r"\d{6}"
+        assert all(re.fullmatch(shape, x.surrogate) for x in found)
