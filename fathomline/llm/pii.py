@@ -1,7 +1,8 @@
 """Replacement of personal data by keyed surrogates, in DataFrame operations only.
 
-Detected: e-mail addresses, payment card numbers, phone numbers, IPv4 addresses, IBANs, US social security numbers, and
-names of persons (after a form of address, or a known given name before a surname). A mention's core is what identifies
+Detected: e-mail addresses, payment card numbers, phone numbers, IPv4 and IPv6 addresses, IBANs, US social security
+numbers, and names of persons (after a form of address, or a known given name before a surname). The words of a name that
+a document has are also replaced where they stand alone in it, in the same spelling. A mention's core is what identifies
 the entity: the digits of a number, an address in lower case, each word of a name. Every distinct core of the corpus
 gets one surrogate, so all its mentions agree (coreference), in each mention's own format and case:
 
@@ -37,14 +38,18 @@ KINDS = {
     "email": r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|(?:[Ff][Ee]80|[Ff][CcDd][0-9A-Fa-f]{2}|[23][0-9A-Fa-f]{3}):(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "phone": r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ \-][0-9]{4}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ \-][0-9]{4}(?![0-9])|(?<![0-9][ .\-]|[0-9])(?:1[ .\-])?[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![ .\-]?[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ \-]){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{12,19}(?![0-9])",
 }
-TITLED = rf"\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
-NAMED = rf"\b(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)}) \p{{Lu}}\p{{L}}+"
+#: A word of a name: Miller, Smith-Jones, O'Brien.
+WORD = r"\p{Lu}(?:\p{L}+|['’]\p{Lu}\p{L}+)(?:[\-'’]\p{Lu}\p{L}+)*"
+TITLED = rf"\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? {WORD}(?: {WORD})?"
+NAMED = rf"\b(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)})(?:-\p{{Lu}}\p{{L}}+)? {WORD}"
 #: \b of Java's regex takes letters of all scripts for words only with (?U).
 PATTERN = "(?U)" + "|".join([*KINDS.values(), TITLED, NAMED])
+PERSON = "(?U)" + "|".join([TITLED, NAMED])
 #: Parts of surrogate names. Fixed values.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ge ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se sta ta te to va ve zo".split(),
@@ -178,6 +183,7 @@ def surrogate(key: str) -> Column:
         return (
             F.when(kind == "email", email)
             .when(kind == "ip", address(core, stream, key))
+            .when(kind == "ip6", F.concat_ws(":", F.substring_index(core, ":", 1), *(F.substring(stream, 4 * i + 1, 4) for i in range(7))))
             .when(kind == "card", card(core, stream))
             .when((kind == "phone") & closed(kind, core), short_phone(core, key))
             .when(kind == "phone", reshaped(core, stream, F.greatest(F.lit(0), F.length(core) - 10)))
@@ -202,7 +208,7 @@ def pieces(mention: Column) -> Column:
     def words(parts: Column) -> Column:
         title = F.regexp_replace(parts[0], r"\.$", "")
         titled = title.isin(MALE_TITLES + FEMALE_TITLES)
-        gender = F.when(title.isin(FEMALE_TITLES + FEMALE_NAMES), "given_f").otherwise("given_m")
+        gender = F.when(title.isin(FEMALE_TITLES) | F.substring_index(title, "-", 1).isin(FEMALE_NAMES), "given_f").otherwise("given_m")
         kind = lambda i: F.when((i == 0) & titled, "").when(i == F.size(parts) - 1, "surname").otherwise(gender)
         return F.transform(parts, lambda w, i: piece(kind(i), w, F.lower(w)))
 
@@ -258,19 +264,34 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError("a kind of entity has too few distinct surrogates")
 
 
+def lone_names(text: Column) -> Column:
+    """The words of a text's names as structs of piece and kind, longest first; null if it has none."""
+    listed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0)), pieces))
+    named = F.filter(listed, lambda x: (x["kind"] == "surname") | x["kind"].startswith("given"))
+    words = F.array_sort(F.array_distinct(F.transform(named, lambda x: F.struct((-F.length(x["piece"])).alias("order"), x["piece"].alias("piece"), x["kind"].alias("kind")))))
+    return let(words, lambda x: F.when(F.size(x) > 0, x))
+
+
 def pseudonymized(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with surrogates and n_entities (mentions replaced) of every row."""
     ready(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("content", F.xxhash64("text"))
-    mentions = texts.select("doc_id", "content", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pos", "mention"))
-    parts = mentions.select("doc_id", "content", "pos", F.posexplode(pieces(F.col("mention"))).alias("part", "x")).select("doc_id", "content", "pos", "part", "x.kind", "x.piece", "x.core")
+    found = texts.withColumn("people", lone_names(F.col("text")))
+    alone = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}_])(?:"), F.array_join(F.transform("people", lambda x: x["piece"]), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    without_people = found.filter("people IS NULL").select("doc_id", "content", F.lit(None).cast("string").alias("pattern"), "people", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found"))
+    with_people = found.filter("people IS NOT NULL").withColumn("pattern", alone).select("doc_id", "content", "pattern", "people", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("found"))
+    mentions = without_people.unionByName(with_people).select("doc_id", "content", "pattern", "people", F.posexplode("found").alias("pos", "mention"))
+    known = F.filter("people", lambda x: x["piece"] == F.col("mention"))
+    lone = F.transform(F.slice(known, 1, 1), lambda x: F.struct(x["kind"].alias("kind"), x["piece"].alias("piece"), F.lower(x["piece"]).alias("core")))
+    own = F.when(F.coalesce(F.size(known), F.lit(0)) > 0, lone).otherwise(pieces(F.col("mention")))
+    parts = mentions.select("doc_id", "content", "pattern", "pos", F.posexplode(own).alias("part", "x")).select("doc_id", "content", "pattern", "pos", "part", "x.kind", "x.piece", "x.core")
     parts = stored(parts.distinct(), "mentions")
     named = assigned(parts.filter("kind <> ''").select("kind", "core").distinct(), key)
-    shown = parts.join(named, ["kind", "core"], "left").select("doc_id", "content", "pos", "part", rendered().alias("shown"))
-    by_mention = shown.groupBy("doc_id", "content", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "shown"))), lambda x: x.shown), " ").alias("shown"))
-    by_text = by_mention.groupBy("doc_id", "content").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x.shown).alias("shown"))
-    by_text = by_text.select(F.col("doc_id").alias("own_id"), F.col("content").alias("own_content"), "shown")
+    shown = parts.join(named, ["kind", "core"], "left").select("doc_id", "content", "pattern", "pos", "part", rendered().alias("shown"))
+    by_mention = shown.groupBy("doc_id", "content", "pattern", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "shown"))), lambda x: x.shown), " ").alias("shown"))
+    by_text = by_mention.groupBy("doc_id", "content", "pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x.shown).alias("shown"))
+    by_text = by_text.select(F.col("doc_id").alias("own_id"), F.col("content").alias("own_content"), "pattern", "shown")
     joined = texts.join(by_text, (F.col("content") == F.col("own_content")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
-    gaps = F.split("text", PATTERN, -1)
+    gaps = F.when(F.col("pattern").isNull(), F.split("text", PATTERN, -1)).otherwise(F.split("text", F.col("pattern"), -1))
     whole_text = F.array_join(F.flatten(F.zip_with(gaps, F.concat("shown", F.array(F.lit(""))), lambda gap, new: F.array(gap, new))), "")
     return joined.select("doc_id", F.when(F.col("shown").isNull(), F.col("text")).otherwise(whole_text).alias("text"), F.coalesce(F.size("shown"), F.lit(0)).cast("long").alias("n_entities"))

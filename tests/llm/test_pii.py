@@ -78,3 +78,20 @@ def test_any_number_of_entities(spark, monkeypatch, kind):
     if kind in ("ip", "phone"):
         shape = r"192\.168\.\d{1,3}\.\d{1,3}" if kind == "ip" else r"\d{6}"
         assert all(re.fullmatch(shape, x.surrogate) for x in found)
+
+
+def test_lone_names_and_more_formats(spark):
+    rows = [
+        (1, "James Miller came. Miller said that James left; Millers stay, Miller's too."),
+        (2, "Frau Weber und Weber. Anna Smith-Jones, then Smith-Jones; Mary O'Brien and O'Brien."),
+        (3, "Weber alone is nobody here. Call 555-123-4567 or 555.123.4567, not 1234-555-123-4567."),
+        (4, "Hosts 2001:db8::1, fe80::1 and 2001:0db8:0:0:0:ff00:42:8329 but std::vector and 12:30:45."),
+    ]
+    text = {x.doc_id: x.text for x in pseudonymized(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    first = re.fullmatch(r"(\w+) (\w+) came\. (\w+) said that (\w+) left; Millers stay, (\w+)'s too\.", text[1])
+    assert first[2] == first[3] == first[5] != "Miller" and first[1] == first[4] != "James"
+    second = re.fullmatch(r"Frau (\w+) und (\w+)\. (\w+) (\w+), then (\w+); (\w+) (\w+) and (\w+)\.", text[2])
+    assert second[1] == second[2] and second[4] == second[5] and second[7] == second[8] and "Weber" not in text[2]
+    third = re.fullmatch(r"Weber alone is nobody here\. Call (\d{3}-\d{3}-\d{4}) or (\d{3}\.\d{3}\.\d{4}), not 1234-555-123-4567\.", text[3])
+    assert third[1] == third[2].replace(".", "-") != "555-123-4567"
+    assert "db8" not in text[4] and "fe80::1" not in text[4] and text[4].endswith("but std::vector and 12:30:45.")
