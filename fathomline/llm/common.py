@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch where the session has Spark's default: whole texts are long rows.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch where the session has Spark's defaults: whole texts are long rows.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Lets Python workers of a local session import this package, whatever the working directory, and bounds their batches."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):

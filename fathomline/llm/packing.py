@@ -77,9 +77,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
         bins, signs, matrix = projection(max(encoder.tokenizer.get_vocab_size(), end_id + 1))
         ending = encoder.packed([end_id])
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                rows = batch.slice(i, 500)
-                ids = [encoder.ids(x) for x in rows.column(1).to_pylist()]
+            for i in range(0, batch.num_rows, 2000):
+                rows = batch.slice(i, 2000)
+                found, places = encoder.batch(rows.column(1))
+                ids = [found[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
                 vectors = np.zeros((len(ids), BINS))
                 for row, own in zip(vectors, ids, strict=True):
                     row += np.bincount(bins[own], weights=signs[own], minlength=BINS)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -82,7 +83,7 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def shared_prefix(a: bytes, b: bytes) -> int:
-    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return len(os.path.commonprefix([a, b]))
 
 
 def bloom_places(key: bytes, bits: int, hashes: int) -> list[int]:
@@ -211,11 +212,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
         uri, ending = f"{folder}/shard-{part:06d}.sst", None
         draft, writer, out = f"{folder}/.{uuid.uuid4().hex}", None, None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, places = encoder.batch(batch.column(1))
+            for doc_id, i, j in zip(batch.column(0).to_pylist(), places[:-1].tolist(), places[1:].tolist(), strict=True):
                 if writer is None:
                     writer = Writer(out := open_file(draft, "w"), encoder.dtype.itemsize)
                     ending = encoder.packed([end_id])
-                writer.add(key_of(doc_id), encoder.ids(text).tobytes() + ending)
+                writer.add(key_of(doc_id), ids[i:j].tobytes() + ending)
         if writer is not None:
             writer.close()
             out.close()
