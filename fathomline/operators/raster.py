@@ -1,32 +1,24 @@
-"""Image operators on pixels in long form: frame, r, c, v. Row and column statistics are group-bys, neighbourhoods windows."""
+"""Image operators on pixels in long form: frame, r, c, v. Row and column statistics are group-bys, neighbourhoods kernels on bands of rows."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def box_axis(pixels: DataFrame, value: str, half: int, axis: str, out: str) -> DataFrame:
-    """Mean of 2 half + 1 neighbours along an axis ("r" or "c"); edge values are repeated by a correction of the frame."""
-    order = Window.partitionBy("frame", "c" if axis == "r" else "r").orderBy(axis)
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum(value).over(order.rowsBetween(-half, half))
-    first, last, end = F.first(value).over(every), F.last(value).over(every), F.max(axis).over(every)
-    low, high = F.greatest(F.lit(0), half - F.col(axis)), F.greatest(F.lit(0), F.col(axis) + half - end)
-    return pixels.withColumn(out, (total + low * first + high * last) / (2 * half + 1))
+from .bands import box, damped, moments, on_bands, reached
 
 
 def box2d(pixels: DataFrame, value: str, win: int, out: str) -> DataFrame:
-    """Mean of win x win neighbours, edge values repeated."""
-    return box_axis(box_axis(pixels, value, win // 2, "c", "_row"), "_row", win // 2, "r", out).drop("_row")
+    """pixels (other columns go) with the mean of win x win neighbours, edge values repeated."""
+    kernel = lambda image, inside: {value: image[win // 2 : image.shape[0] - win // 2, win // 2 : image.shape[1] - win // 2], out: box(image, win)}
+    return on_bands(pixels, kernel, win // 2, f"{value} double, {out} double", value)
 
 
 def local_moments(pixels: DataFrame, win: int) -> DataFrame:
-    """pixels with the local mean and variance (not below 0)."""
-    rows = box2d(box2d(pixels.withColumn("_sq", F.col("v") * F.col("v")), "v", win, "mean"), "_sq", win, "_sq_mean")
-    return rows.withColumn("var", F.greatest(F.col("_sq_mean") - F.col("mean") * F.col("mean"), F.lit(0.0))).drop("_sq", "_sq_mean")
+    """frame, r, c, v with the local mean and variance (not below 0)."""
+    return on_bands(pixels, moments(win), win // 2, "v double, mean double, var double")
 
 
 def lee(pixels: DataFrame, win: int = 5) -> DataFrame:
@@ -39,13 +31,7 @@ def lee(pixels: DataFrame, win: int = 5) -> DataFrame:
 
 def frost(pixels: DataFrame, win: int = 5, damp: float = 2.0) -> DataFrame:
     """frame, r, c, v: exponential weights that decay faster where the centre pixel's neighbourhood varies; shifts wrap around."""
-    half = win // 2
-    size = pixels.groupBy("frame").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
-    centres = local_moments(pixels, win).select("frame", "r", "c", (F.col("var") / (F.col("mean") * F.col("mean") + 1e-6)).alias("ci"))
-    shifts = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(math.hypot(y, x)).alias("far")) for y in range(-half, half + 1) for x in range(-half, half + 1)])).alias("s")
-    spread = pixels.join(size, "frame").select("frame", "r", "c", "v", "h", "w", shifts).select("frame", F.pmod(F.col("r") + F.col("s.y"), F.col("h")).alias("r"), F.pmod(F.col("c") + F.col("s.x"), F.col("w")).alias("c"), "v", "s.far")
-    weight = F.exp(F.lit(-damp) * F.col("ci") * F.col("far"))
-    return spread.join(centres, ["frame", "r", "c"]).groupBy("frame", "r", "c").agg((F.sum(weight * F.col("v")) / (F.sum(weight) + 1e-6)).alias("v"))
+    return on_bands(pixels, damped(win, damp), win // 2, "v double", wrap=True)
 
 
 def despeckled(pixels: DataFrame, method: str = "lee", win: int = 5, damp: float = 2.0) -> DataFrame:
@@ -130,6 +116,7 @@ def tiles(pixels: DataFrame, size: int, overlap: float = 0.2, least_valid: float
     return named.join(enough.select("frame", "tile"), ["frame", "tile"], "left_semi")
 
 
+#: Weights of the quality score. Fixed values.
 WEIGHTS = {"snr": 0.30, "contrast": 0.25, "edge_density": 0.20, "dropout": 0.15, "saturation": 0.10}
 
 
@@ -173,10 +160,7 @@ def ellipse(k: int) -> list[tuple[int, int]]:
 
 def morphology(mask: DataFrame, k: int, widest: bool) -> DataFrame:
     """frame, r, c, on: the greatest (dilation) or least (erosion) of on over the element; outside pixels don't count."""
-    offsets = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ellipse(k)])).alias("o")
-    spread = mask.select("frame", "r", "c", "on", offsets).select("frame", (F.col("r") + F.col("o.y")).alias("r"), (F.col("c") + F.col("o.x")).alias("c"), "on")
-    seen = spread.groupBy("frame", "r", "c").agg((F.max("on") if widest else F.min("on")).alias("on"))
-    return mask.select("frame", "r", "c").join(seen, ["frame", "r", "c"])
+    return on_bands(mask, reached(ellipse(k), k // 2, widest), k // 2, "v double", "on").select("frame", "r", "c", F.col("v").cast("int").alias("on"))
 
 
 def opened_closed(mask: DataFrame, k: int = 5) -> DataFrame:
