@@ -57,6 +57,13 @@ def altitude_summary(pings: DataFrame, recorded: str = "alt", tracked: str = "cl
     )
 
 
+def altitude_error(rows: DataFrame, truth: str, estimate: str, by: str = "survey") -> DataFrame:
+    """Per survey: pings, mean of the truth, mean absolute error where both are known, and that as a share of the mean."""
+    error = F.avg(F.abs(F.col(truth) - F.col(estimate)))
+    out = rows.groupBy(by).agg(F.count("*").alias("n_pings"), F.avg(truth).alias("mean"), error.alias("mae"))
+    return out.withColumn("share_of_mean", F.try_divide("mae", "mean"))
+
+
 def altitude_policy(frames: DataFrame, pings: DataFrame) -> DataFrame:
     """altitude_m and its source: recorded metres if a frame has any, else tracked pixels times the slant resolution.
 

@@ -313,14 +313,14 @@ FUSE = f"""WITH RECURSIVE det AS (SELECT * FROM [boxes_det]), ano AS (SELECT * F
             SELECT *, CASE WHEN list_max(ious) >= 0.5 THEN len(ious) - list_position(list_reverse(ious), list_max(ious)) + 1 ELSE list_position(ins, true) END AS pick FROM (
                 SELECT tile, ds, xs, k, used, [CASE WHEN list_contains(used, j) THEN -1::DOUBLE ELSE {IOU.format(a='ds[k + 1]', b='xs[j]')} END FOR j IN range(1, len(xs) + 1)] AS ious,
                        [NOT list_contains(used, j) AND {CENTRE.format(a='xs[j]', b='ds[k + 1]')} FOR j IN range(1, len(xs) + 1)] AS ins FROM walk WHERE k < len(ds)))),
-    both_rows AS (SELECT tile, ds[k].id AS id, CASE WHEN pick IS NULL THEN 'yolo' ELSE 'both' END AS origin, xs[pick].id AS partner, coalesce(xs[pick].score, ds[k].score) AS score FROM walk WHERE k > 0),
-    merged AS (SELECT * FROM both_rows UNION ALL SELECT tile, id, 'anomaly_only', NULL, score FROM ano a WHERE NOT EXISTS (SELECT 1 FROM both_rows b WHERE b.tile = a.tile AND b.partner = a.id))"""
+    both_rows AS (SELECT tile, ds[k].id AS id, CASE WHEN pick IS NULL THEN 'yolo' ELSE 'both' END AS origin, xs[pick].id AS partner, ds[k].cls AS cls, ds[k].conf AS conf, xs[pick].peak AS peak, xs[pick].mean AS mean, coalesce(ds[k].polygon, xs[pick].polygon) AS polygon FROM walk WHERE k > 0),
+    merged AS (SELECT * FROM both_rows UNION ALL SELECT tile, id, 'anomaly_only', NULL, NULL, NULL, peak, mean, polygon FROM ano a WHERE NOT EXISTS (SELECT 1 FROM both_rows b WHERE b.tile = a.tile AND b.partner = a.id))"""
 
 
-@query("fuse_greedy", FUSE + " SELECT tile, id, origin, partner, score FROM merged")
+@query("fuse_greedy", FUSE + " SELECT tile, id, origin, partner, cls, conf, peak, mean, polygon FROM merged")
 def fuse_greedy(spark, d):
     _, det, ano = box_tables(spark, d)
-    return B.fused(det, ano).select("tile", "id", "origin", "partner", "score")
+    return B.fused(det, ano).select("tile", "id", "origin", "partner", "cls", "conf", "peak", "mean", "polygon")
 
 
 @query(

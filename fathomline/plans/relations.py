@@ -12,11 +12,13 @@ SQL = {
     "boxes_det": """
         SELECT o_custkey % 200 AS tile, o_orderkey AS id, CAST(o_orderkey * 37 % 560 AS INT) AS x1, CAST(o_orderkey * 91 % 560 AS INT) AS y1,
                CAST(o_orderkey * 37 % 560 + 20 + o_orderkey * 13 % 61 AS INT) AS x2, CAST(o_orderkey * 91 % 560 + 20 + o_orderkey * 29 % 61 AS INT) AS y2,
-               round(CAST(o_totalprice AS DOUBLE) / 600000 + 1e-9, 6) AS score FROM orders WHERE o_orderstatus = 'O'""",
+               round(CAST(o_totalprice AS DOUBLE) / 600000 + 1e-9, 6) AS score, round(CAST(o_totalprice AS DOUBLE) / 600000 + 1e-9, 6) AS conf, o_orderpriority AS cls,
+               CASE WHEN o_orderkey % 3 = 0 THEN concat('outline ', CAST(o_orderkey AS STRING)) END AS polygon FROM orders WHERE o_orderstatus = 'O'""",
     "boxes_ano": """
         SELECT o_custkey % 200 AS tile, o_orderkey AS id, CAST(o_orderkey * 41 % 560 AS INT) AS x1, CAST(o_orderkey * 87 % 560 AS INT) AS y1,
                CAST(o_orderkey * 41 % 560 + 20 + o_orderkey * 17 % 61 AS INT) AS x2, CAST(o_orderkey * 87 % 560 + 20 + o_orderkey * 23 % 61 AS INT) AS y2,
-               round(CAST(o_totalprice AS DOUBLE) / 600000 + 1e-9, 6) AS score FROM orders WHERE o_orderstatus <> 'O'""",
+               round(CAST(o_totalprice AS DOUBLE) / 600000 + 1e-9, 6) AS score, round(CAST(o_totalprice AS DOUBLE) / 600000 + 1e-9, 6) AS peak, round(CAST(o_totalprice AS DOUBLE) / 1200000 + 1e-9, 6) AS mean,
+               concat('blob ', CAST(o_orderkey AS STRING)) AS polygon FROM orders WHERE o_orderstatus <> 'O'""",
     "boxes_gt": """
         SELECT p_partkey % 200 AS tile, p_partkey AS id, CAST(p_partkey * 53 % 560 AS INT) AS x1, CAST(p_partkey * 71 % 560 AS INT) AS y1,
                CAST(p_partkey * 53 % 560 + 20 + p_partkey * 19 % 61 AS INT) AS x2, CAST(p_partkey * 71 % 560 + 20 + p_partkey * 31 % 61 AS INT) AS y2 FROM part""",

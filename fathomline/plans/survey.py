@@ -6,6 +6,7 @@ images. With contrast off, samples are clipped to 0..255 at the end.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,12 +30,15 @@ CONFIG = {
 
 @dataclass
 class Result:
-    """pings (samples, valid, altitude_px), tiles (pixels of tiles, or none), qualities (a row a tile, or none), steps run."""
+    """pings (samples, valid, altitude_px), tiles (pixels of tiles, or none), qualities (a row a tile, or none), steps run,
+    seconds that each took, and where each step's images are (snapshots)."""
 
     pings: DataFrame
     tiles: DataFrame | None = None
     qualities: DataFrame | None = None
     steps: list[str] = field(default_factory=list)
+    seconds: dict[str, float] = field(default_factory=dict)
+    snapshots: dict[str, str] = field(default_factory=dict)
 
 
 def tracked(pings: DataFrame, c: dict) -> DataFrame:
@@ -57,16 +61,37 @@ def imploded(pings: DataFrame, pixels: DataFrame) -> DataFrame:
     return pings.drop("samples").join(lists, ["frame", "ping"])
 
 
-def run(pings: DataFrame, config: dict | None = None, enabled: dict[str, bool] | None = None) -> Result:
-    """Runs the steps that are not switched off. pings: frame, ping, samples (array<double>)."""
+def snapshot(pings: DataFrame) -> DataFrame:
+    """frame, ping, samples as 0..255: negative ones as 0, then from the frame's least to its greatest."""
+    clipped = pings.select("frame", "ping", F.transform("samples", lambda v: F.greatest(v, F.lit(0.0))).alias("samples"))
+    ends = clipped.groupBy("frame").agg(F.min(F.array_min("samples")).alias("_lo"), F.max(F.array_max("samples")).alias("_hi"))
+    scaled = F.transform("samples", lambda v: F.floor((v - F.col("_lo")) * 255 / (F.col("_hi") - F.col("_lo") + 1e-6)).cast("int"))
+    return clipped.join(ends, "frame").select("frame", "ping", scaled.alias("samples"))
+
+
+def run(pings: DataFrame, config: dict | None = None, enabled: dict[str, bool] | None = None, save_steps: str | None = None) -> Result:
+    """Runs the steps that are not switched off. pings: frame, ping, samples (array<double>).
+
+    save_steps: a folder for each step's images (Parquet, see snapshot). A step's seconds count its own work, as its
+    result is computed before the next begins; slant is computed with the step after it, quality when it is read.
+    """
     c = {k: v | (config or {}).get(k, {}) for k, v in CONFIG.items()}
     on = lambda step: (enabled or {}).get(step, True)
     rows = pings.withColumn("valid", F.transform("samples", lambda v: F.lit(True))).withColumn("altitude_px", F.lit(0.0))
     out = Result(rows)
 
+    began = time.perf_counter()
+
     def done(step: str, rows: DataFrame) -> DataFrame:
+        nonlocal began
         out.steps.append(step)
-        return rows if step in ("slant", "quality") else materialized(rows)
+        rows = rows if step in ("slant", "quality") else materialized(rows)
+        out.seconds[step] = time.perf_counter() - began
+        if save_steps and step != "quality":
+            out.snapshots[step] = f"{save_steps}/{len(out.steps) - 1}_{step}"
+            snapshot(rows).write.mode("overwrite").parquet(out.snapshots[step])
+        began = time.perf_counter()
+        return rows
 
     if on("bottom"):
         rows = done("bottom", tracked(rows, c["bottom"]))
@@ -97,6 +122,7 @@ def run(pings: DataFrame, config: dict | None = None, enabled: dict[str, bool] |
         out.qualities = done("quality", scored.select(F.col("frame").alias("tile"), "score", R.quality_flag(F.col("score"), c["quality"]["threshold"]).alias("flag")))
     if on("tiling"):
         out.steps.append("tiling")
+        out.seconds["tiling"] = time.perf_counter() - began
     return out
 
 

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from fathomline.plans.queries import ORACLES, QUERIES
+from fathomline.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

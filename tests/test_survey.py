@@ -129,11 +129,16 @@ def test_candidates():
 
 
 def test_fusion_rules(spark):
-    schema = "tile long, id long, x1 int, y1 int, x2 int, y2 int, score double"
-    det = spark.createDataFrame([(1, 1, 100, 100, 200, 200, 0.9), (1, 2, 120, 120, 220, 220, 0.8), (2, 3, 0, 0, 50, 50, 0.5)], schema)
-    ano = spark.createDataFrame([(1, 10, 140, 140, 240, 240, 0.1), (1, 11, 105, 105, 205, 205, 0.2), (1, 12, 105, 105, 205, 205, 0.3), (2, 13, 400, 400, 460, 460, 0.4)], schema)
-    out = {(x.tile, x.id): (x.origin, x.partner, x.score) for x in B.fused(det, ano).collect()}
-    assert out == {(1, 1): ("both", 12, 0.3), (1, 2): ("both", 11, 0.2), (1, 10): ("anomaly_only", None, 0.1), (2, 3): ("yolo", None, 0.5), (2, 13): ("anomaly_only", None, 0.4)}
+    det = spark.createDataFrame([(1, 1, 100, 100, 200, 200, 0.9, "pipe", None), (1, 2, 120, 120, 220, 220, 0.8, "net", "own"), (2, 3, 0, 0, 50, 50, 0.5, "pipe", None)], "tile long, id long, x1 int, y1 int, x2 int, y2 int, conf double, cls string, polygon string")
+    ano = spark.createDataFrame([(1, 10, 140, 140, 240, 240, 0.1, 0.05, "a"), (1, 11, 105, 105, 205, 205, 0.2, 0.15, "b"), (1, 12, 105, 105, 205, 205, 0.3, 0.25, "c"), (2, 13, 400, 400, 460, 460, 0.4, 0.35, "d")], "tile long, id long, x1 int, y1 int, x2 int, y2 int, peak double, mean double, polygon string")
+    out = {(x.tile, x.id): (x.origin, x.partner, x.cls, x.conf, x.peak, x.mean, x.polygon) for x in B.fused(det, ano).collect()}
+    assert out == {
+        (1, 1): ("both", 12, "pipe", 0.9, 0.3, 0.25, "c"), (1, 2): ("both", 11, "net", 0.8, 0.2, 0.15, "own"), (1, 10): ("anomaly_only", None, None, None, 0.1, 0.05, "a"),
+        (2, 3): ("yolo", None, "pipe", 0.5, None, None, None), (2, 13): ("anomaly_only", None, None, None, 0.4, 0.35, "d"),
+    }
+    alone = B.fused(det.limit(0), ano).collect()
+    assert len(alone) == 4 and {x.origin for x in alone} == {"anomaly_only"}
+    assert {x.origin for x in B.fused(det, ano.limit(0)).collect()} == {"yolo"}
 
 
 def test_manifest(spark):
