@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +16,9 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 
 
-#: Rows and bytes of an Arrow batch where the session has Spark's defaults: whole texts are long rows.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+#: Rows and bytes of an Arrow batch where the session has Spark's defaults: whole texts are long rows, and a batch lies in
+#: memory outside the heap. Workers that gain by larger batches join them (see joined).
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -29,6 +33,32 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def joined(batches: Iterable[pa.RecordBatch], most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def lean(apply):
+    """A mapInArrow function that gives its free memory back to the system when it ends, as workers live on."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from apply(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, stored, whole
+from .common import joined, lean, ready, stored, whole
 from .tokens import words
 
 BINS, DIMENSIONS, CELL_BITS = 1024, 4, 10
@@ -76,11 +76,11 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
         encoder = words(tokenizer)
         bins, signs, matrix = projection(max(encoder.tokenizer.get_vocab_size(), end_id + 1))
         ending = encoder.packed([end_id])
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                rows = batch.slice(i, 2000)
-                found, places = encoder.batch(rows.column(1))
-                ids = [found[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+        for some in joined(batches):
+            found, places = encoder.batch(some.column(1))
+            all_ids = [found[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+            for i in range(0, some.num_rows, 500):
+                rows, ids = some.slice(i, 500), all_ids[i : i + 500]
                 vectors = np.zeros((len(ids), BINS))
                 for row, own in zip(vectors, ids, strict=True):
                     row += np.bincount(bins[own], weights=signs[own], minlength=BINS)
@@ -88,7 +88,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(curve_places(vectors @ matrix)), pa.array([x.tobytes() + ending for x in ids], pa.binary())], names=["doc_id", "place", "ids"])
 
     ready(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(apply, "doc_id long, place long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(lean(apply), "doc_id long, place long, ids binary")
 
 
 class Packer:
@@ -156,4 +156,4 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, id_
 
     table = stored(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens")
     ranges = table.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id")
-    return ranges.select("doc_id", "ids").mapInArrow(pack, PIECE)
+    return ranges.select("doc_id", "ids").mapInArrow(lean(pack), PIECE)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW_KEYS, ready, stored, whole, without
+from .common import FEW_KEYS, lean, ready, stored, whole, without
 from .components import components, stars
 
 SEED = 42
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole(text_col)).alias("k"), whole(text_col).alias("text"))
-    return rows.mapInArrow(apply, "doc_id long, k long, fingerprint long")
+    return rows.mapInArrow(lean(apply), "doc_id long, k long, fingerprint long")
 
 
 def distance(points: np.ndarray, vantage: int) -> np.ndarray:
@@ -345,7 +345,7 @@ def similar_links(rows: DataFrame, reach: int) -> DataFrame:
 
     blocks = rows.select("k", "print", F.explode("keys").alias("key"))
     shared = blocks.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
-    return blocks.join(shared, "key").select("key", "k", "print").repartition("key").sortWithinPartitions("key", "k").mapInArrow(link, "a long, b long")
+    return blocks.join(shared, "key").select("key", "k", "print").repartition("key").sortWithinPartitions("key", "k").mapInArrow(lean(link), "a long, b long")
 
 
 def shared_counts(own: np.ndarray, sets: np.ndarray, starts: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -428,7 +428,7 @@ def exact_links(texts: DataFrame, proposed: DataFrame, shingle: int, similarity:
 
     few = F.broadcast(proposed) if proposed.count() <= FEW_KEYS else proposed
     rows = texts.join(few, "k").select("root", "k", "print", "text")
-    return rows.repartition("root").sortWithinPartitions("root", "k").mapInArrow(link, "node long, root long")
+    return rows.repartition("root").sortWithinPartitions("root", "k").mapInArrow(lean(link), "node long, root long")
 
 
 def near_deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -450,7 +450,7 @@ def near_deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     ready(docs.sparkSession)
     own = {"doc_id": F.col(id_col).cast("long"), "k": F.xxhash64(whole(text_col))}
-    rows = docs.select(*[x.alias(n) for n, x in own.items()], whole(text_col).alias("text")).mapInArrow(apply, "doc_id long, k long, print binary, keys array<long>")
+    rows = docs.select(*[x.alias(n) for n, x in own.items()], whole(text_col).alias("text")).mapInArrow(lean(apply), "doc_id long, k long, print binary, keys array<long>")
     rows = stored(rows, "prints")
     reach = bits_apart(similarity)
     proposed = components(similar_links(rows.dropDuplicates(["k"]), reach))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, ready, whole
+from .common import fresh, joined, lean, ready, whole
 from .tokens import words
 
 MAGIC = b"TOKSST1\n"
@@ -211,7 +211,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
         part, encoder = TaskContext.get().partitionId(), words(tokenizer)
         uri, ending = f"{folder}/shard-{part:06d}.sst", None
         draft, writer, out = f"{folder}/.{uuid.uuid4().hex}", None, None
-        for batch in batches:
+        for batch in joined(batches):
             ids, places = encoder.batch(batch.column(1))
             for doc_id, i, j in zip(batch.column(0).to_pylist(), places[:-1].tolist(), places[1:].tolist(), strict=True):
                 if writer is None:
@@ -229,7 +229,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     sorted_rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return sorted(sorted_rows.mapInArrow(write, MANIFEST).collect(), key=lambda x: x.shard)
+    return sorted(sorted_rows.mapInArrow(lean(write), MANIFEST).collect(), key=lambda x: x.shard)
 
 
 def read_shards(spark: SparkSession, manifest: list) -> DataFrame:

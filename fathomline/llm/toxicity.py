@@ -5,8 +5,9 @@ space, a space added at both ends), hashed to 2^BITS places. On labelled rows th
 toxic and among other texts is its naive Bayes weight; features whose shares differ clearly are scaled by it and a logistic regression with an L2
 penalty is fitted on them. Scoring adds the weights of the distinct features of a whole text.
 
-The fit uses at most ``sample_rows`` labelled rows, chosen by a hash of doc_id, a quarter of them toxic at most, in one
-task; scoring covers all rows. Null and empty texts get the score of a text without features. Repeated rows get equal
+The fit uses at most ``sample_rows`` labelled rows, chosen by a hash of doc_id, a quarter of them toxic at most; scoring
+covers all rows. Of equally telling features those at lower places are kept; of several texts with one labelled doc_id
+the one with the least digest is learned from. Null and empty texts get the score of a text without features. Repeated rows get equal
 scores. Without labels of both classes every score is 0. Rows with a null doc_id are scored, never learned from and
 not held out. Other columns are ignored, so they cannot be inputs.
 """
@@ -21,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ready, whole
+from .common import discard, lean, ready, stored, whole
 
 SIZES = (4, 5, 6)
 BITS = 20
@@ -31,6 +31,8 @@ KEPT_FEATURES = 1 << 14
 #: A feature is kept if its shares among toxic and other texts differ by so many standard errors.
 LEAST_Z = 4.0
 SMOOTHING, PENALTY, STEPS = 1.0, 1e-4, 400
+#: The fit ends when 20 steps lower the loss by a smaller share than this.
+LEAST_GAIN = 1e-3
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 #: Bytes that n-grams are hashed at a time.
 CHUNK = 1 << 20
@@ -92,29 +94,29 @@ class Model:
         return score
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model | None:
-    """The classifier from labelled texts; none without both classes, or if no feature tells them apart."""
-    y = np.array(toxic, np.float64)
-    if not 0 < y.sum() < len(y):
-        return None
-    counts = np.zeros((2, 1 << BITS))
-    for text, t in zip(texts, toxic, strict=True):
-        counts[t, distinct(text)] += 1
-    share = counts / np.array([[len(y) - y.sum()], [y.sum()]])
-    both = counts.sum(0) / len(y)
-    z = np.abs(share[1] - share[0]) / np.sqrt(np.maximum(both * (1 - both), 1 / len(y)) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-    places = np.argsort(-z, kind="stable")[:KEPT_FEATURES]
-    places = np.sort(places[z[places] >= LEAST_Z])
-    if not len(places):
-        return None
-    part = (counts[:, places] + SMOOTHING) / (counts[:, places] + SMOOTHING).sum(1, keepdims=True)
-    scale = np.log(part[1] / part[0])
-    number = np.full(1 << BITS, -1, np.int64)
-    number[places] = np.arange(len(places))
-    x = [found[found >= 0] for found in (number[distinct(text)] for text in texts)]
-    doc, feature = np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate(x)
-    weights, bias = logistic(doc, feature, scale, y)
-    return Model(places.astype(np.int64), (weights * scale).astype(np.float32), float(bias))
+def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """place, other, toxic: in how many of a partition's texts (toxic, places) each place occurs, by label."""
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        for toxic, places in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts[toxic, np.frombuffer(places.as_buffer(), np.uint32)] += 1
+    used = np.flatnonzero(counts.sum(0))
+    for i in range(0, len(used), 1 << 17):
+        own = used[i : i + (1 << 17)]
+        yield pa.RecordBatch.from_pydict({"place": pa.array(own), "other": pa.array(counts[0, own].astype(np.int64)), "toxic": pa.array(counts[1, own].astype(np.int64))})
+
+
+def chosen_places(rows: DataFrame, n_other: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose shares among toxic and other texts differ clearly, KEPT_FEATURES at most, and their log-count ratios."""
+    n = n_other + n_toxic
+    both = (F.col("other") + F.col("toxic")) / n
+    error = F.sqrt(F.greatest(both * (1 - both), F.lit(1 / n)) * (1 / n_toxic + 1 / n_other))
+    counts = rows.mapInArrow(lean(counted), "place long, other long, toxic long").groupBy("place").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    z = F.abs(F.col("toxic") / n_toxic - F.col("other") / n_other) / error
+    found = counts.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "place").limit(KEPT_FEATURES).select("place", "other", "toxic").collect()
+    table = np.array(sorted((x.place, x.other, x.toxic) for x in found), np.float64).reshape(-1, 3)
+    part = (table[:, 1:] + SMOOTHING) / (table[:, 1:] + SMOOTHING).sum(0, keepdims=True)
+    return table[:, 0].astype(np.int64), np.log(part[:, 1] / part[:, 0])
 
 
 def distinct(text: str) -> np.ndarray:
@@ -130,19 +132,31 @@ def logistic(doc: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.ndar
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both classes weigh the same
     rate = 4.0 / ((size**2 + 1) * max(1.0, (balance**2).mean()) ** 0.5 / 8 + PENALTY)
     w, bias, w_old, bias_old = np.zeros(m), 0.0, np.zeros(m), 0.0
-    loss_old = np.inf
+    loss_old = loss_before = np.inf
+    # sums over a row's or a feature's entries, in the order of each
+    with_entries, starts = np.unique(doc, return_index=True)
+    by_feature = np.argsort(feature, kind="stable")
+    used, places = np.unique(feature[by_feature], return_index=True)
+    of_feature = doc[by_feature]
     for step in range(STEPS):
         pull = step / (step + 3)
         v, c = w + pull * (w - w_old), bias + pull * (bias - bias_old)
-        logit = c + np.bincount(doc, weights=(v * scale)[feature], minlength=n)
+        logit = np.full(n, c)
+        logit[with_entries] += np.add.reduceat((v * scale)[feature], starts)
         error = balance * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / n
         loss = (balance * (np.logaddexp(0, logit) - y * logit)).mean() + PENALTY / 2 * (v @ v)
         if loss > loss_old:  # the step was too long
             rate, w_old, bias_old, loss_old = rate / 2, w.copy(), bias, np.inf
             continue
         loss_old = loss
+        if step % 20 == 0:
+            if loss_before - loss < LEAST_GAIN * loss:
+                break
+            loss_before = loss
         w_old, bias_old = w, bias
-        w = v - rate * (np.bincount(feature, weights=error[doc], minlength=m) * scale + PENALTY * v)
+        slope = np.zeros(m)
+        slope[used] = np.add.reduceat(error[of_feature], places)
+        w = v - rate * (slope * scale + PENALTY * v)
         bias = c - rate * error.sum()
     return w, bias
 
@@ -153,48 +167,77 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Fits on at most sample_rows labelled rows outside the held-out third, in one task."""
-
-    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        model = fit([x for x, _ in rows], [y for _, y in rows])
-        if model is not None:
-            yield pa.RecordBatch.from_pydict({"places": [model.places.tolist()], "weights": [model.weights.tolist()], "bias": [model.bias]})
+    """Fits on at most sample_rows labelled rows outside the held-out third.
 
+    Their n-grams are found and counted in all tasks; one task fits the chosen features' weights.
+    """
     ready(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     most = sample_rows // 4
     chosen = known.filter("toxic = 1").orderBy(*order).limit(most).unionByName(known.filter("toxic = 0").orderBy(*order).limit(sample_rows - most))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # chosen has sample_rows rows at most
-    found = rows.select("text", "toxic", "doc_id").repartition(1).sortWithinPartitions("doc_id").select("text", "toxic").mapInArrow(learn, "places array<long>, weights array<double>, bias double").collect()
-    return Model(np.array(found[0].places, np.int64), np.array(found[0].weights, np.float32), found[0].bias) if found else None
+    # of several texts of one doc_id the one with the least digest; chosen has sample_rows rows at most
+    first = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.sha2("text", 256).alias("digest"), "toxic", "text")).alias("x")).select("doc_id", "x.toxic", "x.text")
 
+    def found_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([distinct(own.column(2)[0].as_py()).tobytes()], pa.binary())], names=["doc_id", "toxic", "places"])
+
+    rows = stored(first.mapInArrow(lean(found_in), "doc_id long, toxic int, places binary"), "ngrams")
+    sizes = {x.toxic: x.n for x in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        discard(rows)
+        return None
+    places, scale = chosen_places(rows.select("toxic", "places"), sizes[0], sizes[1])
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, and score: the chance of label 1."""
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(1 << BITS, -1, np.int64)
+        number[places] = np.arange(len(places))
+        for batch in batches:
+            own = [number[np.frombuffer(x.as_buffer(), np.uint32)] for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[x >= 0].astype(np.uint16).tobytes() for x in own], pa.binary())], names=["doc_id", "toxic", "features"])
 
-    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.scorer() if model is not None else lambda texts: np.zeros(len(texts))
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, held = [], []
         for batch in batches:
-            scores = scorer(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*keep, "score"])
+            toxic += batch.column(0).to_pylist()
+            held += batch.column(1).to_pylist()
+        doc, feature = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) // 2 for x in held]), np.frombuffer(b"".join(held), np.uint16)
+        weights, bias = logistic(doc, feature, scale, np.array(toxic, np.float64))
+        yield pa.RecordBatch.from_pydict({"weights": [(weights * scale).tolist()], "bias": [float(bias)]})
+
+    fitted = None
+    if len(places):
+        few = rows.mapInArrow(kept, "doc_id long, toxic int, features binary").repartition(1).sortWithinPartitions("doc_id")
+        x = few.select("toxic", "features").mapInArrow(lean(learn), "weights array<double>, bias double").first()
+        fitted = Model(places, np.array(x.weights, np.float32), x.bias)
+    discard(rows)
+    return fitted
+
+
+def score_of(model: Model | None):
+    """The score of a text column: the chance of label 1. Only texts go to Python and only scores come back."""
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = model.scorer() if model is not None else lambda texts: np.zeros(len(texts))
+        for texts in batches:
+            yield pa.array(scorer(texts.to_pylist()), pa.float64())
 
-    ready(docs.sparkSession)
-    rows = docs.select(whole(text_col).alias("scored text"), *keep)
-    return rows.mapInArrow(apply, StructType([*rows.schema.fields[1:], StructField("score", DoubleType())]))
+    return score
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = 8000) -> DataFrame:
     """The rows of docs, all columns, that score below the threshold."""
-    names = [f"c{i}" for i in range(len(docs.columns))]  # no name can clash with the score's
     model = train(docs, labels, sample_rows)
-    scored = score(docs.toDF(*names), model, names[docs.columns.index("text")], tuple(names))
-    return scored.filter(F.col("score") < threshold).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    return docs.filter(score_of(model)(whole("text")) < threshold)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = 8000) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels, sample_rows))
+    model = train(docs, labels, sample_rows)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_of(model)(whole("text")).alias("score"))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
