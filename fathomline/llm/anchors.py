@@ -41,3 +41,17 @@ def contexts(data: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     place = (window_least(ranked, window - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
     return first, np.append(first[1:], len(place)) - 1, place[first], hashes[place[first]]
+
+
+def sub_contexts(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A context cut further by the least gram but its anchor: first and last window start, and hash of that gram.
+
+    All windows of a context have the same anchor; equal windows also have the same second gram at the same offset.
+    """
+    hashes = gram_hashes(data)
+    ranked = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    anchor = int(window_least(ranked, window - GRAM + 1)[0] & np.uint64(0xFFFFFFFF))
+    ranked[anchor] |= np.uint64(0xFFFFFFFF00000000)
+    place = (window_least(ranked, window - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    return first, np.append(first[1:], len(place)) - 1, hashes[place[first]]

@@ -7,27 +7,55 @@ with the common prefix it has with the entry before it; a suffix that is taken o
 common prefix is one more than the least on the way from the last suffix that went to the same queue.
 
 As entries for a symbol arrive in their final order, the priority queue is one first-in-first-out queue a symbol. Queues
-beyond a limit in memory go to files; text and types may be memory-mapped. So the text may be larger than the memory.
+beyond a limit, and all sorted L suffixes, are in an unnamed file that goes with the task. In memory are the text, a bit
+for each suffix, the S* suffixes and what one symbol's suffixes take.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
 
 SYMBOLS = 256
-#: Common prefixes are exact below this and cut off there.
-DEPTH = 255
+#: Common prefixes are exact below this and cut off there, unless told otherwise; they can't be told apart beyond the second.
+DEPTH, DEEPEST = 255, 32_000
+
+
+class Spool:
+    """Pairs of arrays (suffixes, common prefixes) in an unnamed file; a place tells where a pair is."""
+
+    def __init__(self):
+        self.file, self.at = None, 0
+
+    def put(self, suffixes: np.ndarray, shared: np.ndarray) -> tuple[int, int]:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile(prefix="queues-")
+        place = (self.at, len(suffixes))
+        self.file.seek(self.at)
+        self.file.write(suffixes.astype(np.int64).tobytes())
+        self.file.write(shared.astype(np.int16).tobytes())
+        self.at += 10 * len(suffixes)
+        return place
+
+    def get(self, place: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        at, n = place
+        self.file.seek(at)
+        return np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(2 * n), np.int16)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.file = None
 
 
 class Queues:
     """A first-in-first-out queue of (suffix, common prefix) for each symbol; beyond ``limit`` entries on disk."""
 
-    def __init__(self, limit: int, folder: str | None):
+    def __init__(self, limit: int):
         self.parts: list[list] = [[] for _ in range(SYMBOLS)]
-        self.limit, self.folder, self.held, self.files = limit, folder, 0, 0
+        self.stored: list[list] = [[] for _ in range(SYMBOLS)]
+        self.limit, self.held, self.spool, self.spills = limit, 0, Spool(), 0
 
     def put(self, symbol: int, suffixes: np.ndarray, shared: np.ndarray) -> None:
         self.parts[symbol].append((suffixes, shared))
@@ -36,37 +64,21 @@ class Queues:
             self.spill()
 
     def spill(self) -> None:
-        if self.folder is None:
-            self.folder = tempfile.mkdtemp(prefix="queues-")
-        for own in self.parts:
-            for i, part in enumerate(own):
-                if isinstance(part, tuple):
-                    path = os.path.join(self.folder, f"{self.files}.npz")
-                    with open(path, "wb") as f:
-                        np.save(f, part[0])
-                        np.save(f, part[1])
-                    own[i], self.files = path, self.files + 1
-        self.held = 0
+        for own, done in zip(self.parts, self.stored, strict=True):
+            if own:
+                done.append(self.spool.put(np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own])))
+                own.clear()
+        self.held, self.spills = 0, self.spills + 1
 
     def take(self, symbol: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """The parts that the queue has now; it is empty afterwards."""
-        own, self.parts[symbol] = self.parts[symbol], []
-        out = []
-        for part in own:
-            if isinstance(part, str):
-                with open(part, "rb") as f:
-                    out.append((np.load(f), np.load(f)))
-                os.unlink(part)
-            else:
-                self.held -= len(part[0])
-                out.append(part)
-        return out
+        done, own = self.stored[symbol], self.parts[symbol]
+        self.stored[symbol], self.parts[symbol] = [], []
+        self.held -= sum(len(x) for x, _ in own)
+        return [self.spool.get(x) for x in done] + own
 
     def close(self) -> None:
-        if self.folder is not None:
-            for x in os.listdir(self.folder):
-                os.unlink(os.path.join(self.folder, x))
-            os.rmdir(self.folder)
+        self.spool.close()
 
 
 def words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -74,12 +86,12 @@ def words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))[at].astype(np.uint64)
 
 
-def shared_prefixes(text: np.ndarray, left: np.ndarray, right: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Common prefixes of pairs of suffixes, up to ``most`` each (and to DEPTH)."""
-    most = np.minimum(most, DEPTH)
+def shared_prefixes(text: np.ndarray, left: np.ndarray, right: np.ndarray, most: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Common prefixes of pairs of suffixes, up to ``most`` each (and to ``depth``)."""
+    most = np.minimum(most, depth)
     out = most.copy()
     active, done = np.arange(len(left)), 0
-    while len(active) and done < DEPTH:
+    while len(active) and done < depth:
         differ = words_at(text, left[active] + done) ^ words_at(text, right[active] + done)
         apart = differ != 0
         zeros = sum((differ[apart] < np.uint64(1 << bits)).astype(np.int64) for bits in range(8, 64, 8))
@@ -153,9 +165,9 @@ def star_order(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
 class Inducer:
     """One direction of induction; running minima say what two suffixes in one queue have in common."""
 
-    def __init__(self, text: np.ndarray, small: np.ndarray, rising: bool, limit: int, folder: str | None):
-        self.text, self.small, self.rising = text, small, rising
-        self.queues = Queues(limit, folder)
+    def __init__(self, text: np.ndarray, small: np.ndarray, rising: bool, limit: int, depth: int):
+        self.text, self.small, self.rising, self.depth = text, small, rising, depth
+        self.queues = Queues(limit)
         self.least = np.full(SYMBOLS, -1, np.int32)  # of the common prefixes since the last suffix in a queue; -1: none yet
 
     def induce(self, suffixes: np.ndarray, shared: np.ndarray) -> None:
@@ -165,7 +177,7 @@ class Inducer:
         symbols = self.text[np.maximum(left, 0)]
         wanted = (suffixes > 0) & (self.small[np.maximum(left, 0)] != self.rising) & (symbols > 0)
         rows = np.flatnonzero(wanted)
-        low = int(shared.min()) if len(shared) else DEPTH
+        low = int(shared.min()) if len(shared) else self.depth
         if not len(rows):
             self.least[seen] = np.minimum(self.least[seen], low)
             return
@@ -173,21 +185,21 @@ class Inducer:
         order = np.argsort(kinds, kind="stable")
         rows, kinds = rows[order], kinds[order]
         bounds = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))
-        between = range_least(shared, rows, bounds)
+        between = range_least(shared, rows, bounds, self.depth)
         targets = kinds[bounds]
         first = np.minimum.accumulate(shared)[rows[bounds]]
         between[bounds] = np.where(self.least[targets] >= 0, np.minimum(self.least[targets], first), -1)
         after = np.minimum.accumulate(shared[::-1])[::-1]
         last = rows[np.append(bounds[1:], len(rows)) - 1]
         self.least[seen] = np.minimum(self.least[seen], low)
-        self.least[targets] = np.where(last + 1 < len(shared), after[np.minimum(last + 1, len(shared) - 1)], DEPTH)
-        own = np.where(between < 0, 0, np.minimum(between + 1, DEPTH)).astype(np.int16)
+        self.least[targets] = np.where(last + 1 < len(shared), after[np.minimum(last + 1, len(shared) - 1)], self.depth)
+        own = np.where(between < 0, 0, np.minimum(between + 1, self.depth)).astype(np.int16)
         ends = np.append(bounds[1:], len(rows))
         for symbol, i, j in zip(targets.tolist(), bounds.tolist(), ends.tolist(), strict=True):
             self.queues.put(symbol, left[rows[i:j]], own[i:j])
 
 
-def range_least(shared: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def range_least(shared: np.ndarray, rows: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
     """For each row after another one of its kind: the least of shared from just after that one to itself."""
     out = np.zeros(len(rows), np.int32)
     inner = np.ones(len(rows), bool)
@@ -196,17 +208,19 @@ def range_least(shared: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.
     if len(here):
         pairs = np.empty(2 * len(here), np.int64)
         pairs[0::2], pairs[1::2] = rows[here - 1] + 1, rows[here] + 1
-        padded = np.append(shared, DEPTH)
+        padded = np.append(shared, depth)
         out[here] = np.minimum.reduceat(padded, pairs)[0::2]
     return out
 
 
-def sorted_suffixes(text: np.ndarray, limit: int = 1 << 24, folder: str | None = None):
+def sorted_suffixes(text: np.ndarray, limit: int = 1 << 24, depth: int = DEPTH, spills: list | None = None):
     """Yields (suffixes, common prefix of each with the one before) in descending order of the suffixes' first symbols.
 
     text: uint8 strings, each ended by 0, and eight further zeros; symbols are below 255. Within a yield the order is
-    ascending; suffixes that begin with 0 are left out.
+    ascending; suffixes that begin with 0 are left out. spills: gets how often the queues went to disk.
     """
+    if depth > DEEPEST:
+        raise ValueError(f"common prefixes are known up to {DEEPEST} symbols")
     small = types(text)
     small[len(text) - 8 :] = True
     body = text[: len(text) - 8]
@@ -219,26 +233,26 @@ def sorted_suffixes(text: np.ndarray, limit: int = 1 << 24, folder: str | None =
     to_end = stars_to_end(body)
     order = star_order(text, stars)
     shared = np.zeros(len(order), np.int32)
-    shared[1:] = shared_prefixes(text, order[:-1], order[1:], np.minimum(to_end[order[:-1]], to_end[order[1:]]))
+    shared[1:] = shared_prefixes(text, order[:-1], order[1:], np.minimum(to_end[order[:-1]], to_end[order[1:]]), depth)
     firsts = np.searchsorted(text[order], np.arange(SYMBOLS + 1))
-    rising = Inducer(body, small[:n], True, limit, folder)
-    larger: dict[int, list] = {}
+    rising = Inducer(body, small[:n], True, limit, depth)
+    larger, kept = {}, Spool()
     for symbol in range(SYMBOLS):
         parts, edge = [], None
         while taken := rising.queues.take(symbol):
             for suffixes, common in taken:
                 rising.induce(suffixes, common.astype(np.int32))
-                parts.append((suffixes, common))
+                parts.append(kept.put(suffixes, common))
                 edge = suffixes[-1]
         i, j = firsts[symbol], firsts[symbol + 1]
         if i < j:
             own = shared[i:j].copy()
-            own[0] = meet(text, to_end, edge, order[i])
+            own[0] = meet(text, to_end, edge, order[i], depth)
             rising.induce(order[i:j], own)
         if parts:
             larger[symbol] = parts
     rising.queues.close()
-    falling = Inducer(body, small[:n], False, limit, folder)
+    falling = Inducer(body, small[:n], False, limit, depth)
     for symbol in range(SYMBOLS - 1, 0, -1):
         parts, edge = [], None
         # entries have their common prefix with the entry before, which is the greater one here
@@ -248,11 +262,11 @@ def sorted_suffixes(text: np.ndarray, limit: int = 1 << 24, folder: str | None =
                 parts.append((suffixes, common))
                 edge = suffixes[-1]
         if symbol in larger:
-            up = np.concatenate([x for x, _ in larger[symbol]])
-            common = np.concatenate([x for _, x in larger[symbol]]).astype(np.int32)
+            own = [kept.get(x) for x in larger[symbol]]
+            up, common = np.concatenate([x for x, _ in own]), np.concatenate([x for _, x in own]).astype(np.int32)
             common[0] = 0
             down = np.append(common[1:], 0)[::-1].copy()  # with the next greater one
-            joint = meet(text, to_end, edge, up[-1])
+            joint = meet(text, to_end, edge, up[-1], depth)
             down[0] = joint
             falling.induce(up[::-1], down)
         else:
@@ -268,6 +282,9 @@ def sorted_suffixes(text: np.ndarray, limit: int = 1 << 24, folder: str | None =
         larger.pop(symbol, None)
     # symbol 0: ends of strings induce S suffixes of no symbol; nothing is left
     falling.queues.close()
+    kept.close()
+    if spills is not None:
+        spills.append(rising.queues.spills + falling.queues.spills)
 
 
 def stars_to_end(body: np.ndarray) -> np.ndarray:
@@ -276,8 +293,8 @@ def stars_to_end(body: np.ndarray) -> np.ndarray:
     return ends[np.searchsorted(ends, np.arange(len(body)))] - np.arange(len(body))
 
 
-def meet(text: np.ndarray, to_end: np.ndarray, a: int | None, b: int) -> int:
+def meet(text: np.ndarray, to_end: np.ndarray, a: int | None, b: int, depth: int) -> int:
     if a is None:
         return 0
     x, y = np.array([a]), np.array([b])
-    return int(shared_prefixes(text, x, y, np.minimum(to_end[x], to_end[y]))[0])
+    return int(shared_prefixes(text, x, y, np.minimum(to_end[x], to_end[y]), depth)[0])

@@ -5,14 +5,18 @@
 2. If all contexts of an anchor are the same string, all their windows repeat; nothing has to be sorted.
 3. The distinct contexts of the other anchors are the texts of shards, dealt by anchor, and each shard is sorted by
    external induced sorting: a window repeats if its suffix shares ``window`` bytes with a neighbour in that order, or if
-   its context occurs more than once. An anchor with more than HOT contexts would fill a shard of its own; its windows'
-   digests are counted with map-side sums instead.
+   its context occurs more than once. The contexts of an anchor with more than HOT of them are cut once more by their
+   second anchors and dealt by both, so no anchor fills a shard of its own.
 4. The repeated starts of each text are united and their windows removed.
 
+Anchors and contexts that hold over a 1,024th of all rows are at most 1,024; these are joined by broadcast and the others
+by shuffling. Texts are told apart by 128 bits of their SHA-256, contexts of one anchor by 64-bit hashes.
+
 Null text counts as empty; the result depends on the texts alone, so rows with a null doc_id and repeated rows (which
 repeat each other's strings) are treated alike; texts shorter than the window stay whole; an empty table gives an empty
-result; other columns are ignored. Very long texts are cut into contexts piece by piece. Symbols 0 and 255 of a text are
-changed for sorting only where no UTF-8 text has them (255) or by a rule that keeps windows apart (0, see escaped).
+result; other columns are ignored. Very long texts are cut into contexts piece by piece. Windows have 64 to 32,000
+bytes. Symbols 0 and 255 of a text are changed for sorting only where no UTF-8 text has them (255) or by a rule that
+keeps windows apart (0, see escaped).
 """
 
 from __future__ import annotations
@@ -27,19 +31,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import contexts
-from .common import discard, ready, stored, whole
-from .induced import sorted_suffixes
+from .anchors import GRAM, contexts, sub_contexts
+from .common import discard, lean, ready, stored, whole
+from .induced import DEEPEST, sorted_suffixes
 
-#: Bytes of a shard, about; contexts of an anchor beyond which its windows are counted by digest; queue entries in memory.
-SHARD_BYTES, HOT, QUEUED = 4 << 20, 4096, 1 << 22
+#: Bytes of a shard, about; contexts of an anchor beyond which they are dealt by their second anchors; queue entries in memory.
+SHARD_BYTES, HOT, QUEUED = 4 << 20, 4096, 1 << 19
+#: A key is heavy with this share of all rows, so there are at most as many; tables up to these bytes are broadcast.
+HEAVY_SHARE, FEW_BYTES = 1024, 24 << 20
 PIECE = 4 << 20
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, and k and size that tell texts apart."""
+    """doc_id, text, and k and size (128 bits of the text's SHA-256) that tell texts apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    return rows.select("doc_id", F.xxhash64("text").alias("k"), F.octet_length("text").alias("size"), "text")
+    half = lambda at: F.conv(F.substring(F.sha2("text", 256), at, 16), 16, -10).cast("long")
+    return rows.select("doc_id", half(1).alias("k"), half(17).alias("size"), "text")
 
 
 def text_contexts(data: bytes, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
@@ -68,11 +75,11 @@ def context_table(docs: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*(batch.column(j).take(own) for j in range(3)), pa.array(anchors.view(np.int64)), pa.array(found.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "k", "size", "a", "c", "s0", "n"])
                     held, rows = [], 0
 
-    return docs.mapInArrow(apply, "doc_id long, k long, size int, a long, c long, s0 int, n int")
+    return docs.mapInArrow(lean(apply), "doc_id long, k long, size long, a long, c long, s0 int, n int")
 
 
-def sliced(rows: DataFrame, window: int) -> DataFrame:
-    """From text and a list of its contexts (a, c, m, s0, n, shard): the contexts' bytes, or digests of a hot one's windows."""
+def sliced(rows: DataFrame, window: int, shards: int) -> DataFrame:
+    """From text and a list of its contexts (a, c, m, s0, n, hot): their bytes by shard; those of hot anchors cut once more."""
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,14 +88,15 @@ def sliced(rows: DataFrame, window: int) -> DataFrame:
                 data = text.as_buffer().to_pybytes()
                 for x in listed.as_py():
                     own = data[x["s0"] : x["s0"] + x["n"] + window - 1]
-                    if x["shard"] >= 0:
-                        out.append((x["shard"], x["a"], x["c"], x["m"], -1, own))
+                    if not x["hot"]:
+                        out.append((x["a"] % shards, x["a"], x["c"], x["m"], 0, own))
                     else:
-                        out += [(-1, x["a"], x["c"], x["m"], i, xxhash.xxh3_128_digest(own[i : i + window])) for i in range(x["n"])]
-                    size += len(own) if x["shard"] >= 0 else 16 * x["n"]
-                if size > 4 << 20:
-                    yield made(out)
-                    out, size = [], 0
+                        for i, j, second in zip(*(y.tolist() for y in sub_contexts(np.frombuffer(own, np.uint8), window)), strict=True):
+                            out.append(((x["a"] ^ second * 0x9E3779B97F4A7C15 >> 7) % shards, x["a"], x["c"], x["m"], i, own[i : j + window]))
+                    size += len(own) + 40 * len(out[-1:])
+                    if size > 2 << 20:
+                        yield made(out)
+                        out, size = [], 0
             yield made(out)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -96,7 +104,7 @@ def sliced(rows: DataFrame, window: int) -> DataFrame:
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["shard", "a", "c", "m", "start", "data"])
 
-    return rows.mapInArrow(apply, "shard int, a long, c long, m long, start int, data binary")
+    return rows.mapInArrow(lean(apply), "shard int, a long, c long, m long, start int, data binary")
 
 
 def escaped(data: bytes) -> bytes:
@@ -109,7 +117,7 @@ def repeated_starts(strings: list[bytes], window: int) -> tuple[np.ndarray, np.n
     sizes = np.array([len(x) + 1 for x in strings], np.int64)
     text = np.frombuffer(b"\0".join(map(escaped, strings)) + b"\0" * 9, np.uint8)
     flags = np.zeros(len(text) + 1, np.int8)
-    for suffixes, shared in sorted_suffixes(text, QUEUED):
+    for suffixes, shared in sorted_suffixes(text, QUEUED, window):
         again = np.flatnonzero(shared >= window)
         flags[suffixes[again]] = flags[suffixes[again - 1]] = 1
     edges = np.diff(flags, prepend=np.int8(0))
@@ -124,17 +132,15 @@ def shard_ranges(window: int):
 
     def apply(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        a, c, m = (group[x].to_numpy() for x in ("a", "c", "m"))
+        a, c, m, start = (group[x].to_numpy() for x in ("a", "c", "m", "start"))
         data = group["data"].to_pylist()
-        seen: dict[tuple[int, int], int] = {}
-        rows = [i for i, key in enumerate(zip(a.tolist(), c.tolist(), strict=True)) if seen.setdefault(key, i) == i]
+        seen: dict[tuple[int, int, int], int] = {}
+        rows = [i for i, key in enumerate(zip(a.tolist(), c.tolist(), start.tolist(), strict=True)) if seen.setdefault(key, i) == i]
         which, low, high = repeated_starts([data[i] for i in rows], window)
         which = np.array(rows, np.int64)[which]
-        single = m[which] == 1
-        many = np.array([i for i in rows if m[i] > 1], np.int64)
-        ends = np.array([len(data[i]) - window for i in many.tolist()], np.int64)
-        which, low, high = np.concatenate([which[single], many]), np.concatenate([low[single], np.zeros(len(many), np.int64)]), np.concatenate([high[single], ends])
-        return pa.table({"a": a[which], "c": c[which], "lo": low.astype(np.int32), "hi": high.astype(np.int32)})
+        single = m[which] == 1  # the others are known to repeat
+        which, low, high = which[single], low[single], high[single]
+        return pa.table({"a": a[which], "c": c[which], "lo": (start[which] + low).astype(np.int32), "hi": (start[which] + high).astype(np.int32)})
 
     return apply
 
@@ -162,7 +168,7 @@ def cut(docs: DataFrame, window: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return docs.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.mapInArrow(lean(apply), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def freed(spark) -> None:
@@ -171,33 +177,51 @@ def freed(spark) -> None:
     spark._jvm.System.gc()
 
 
+def split_join(rows: DataFrame, counted: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """rows joined with counted by keys; counted has each key once and in ``times`` how many of the rows have it.
+
+    Keys with a share of 1 / HEAVY_SHARE of all rows or more, HEAVY_SHARE at most, are broadcast, the others shuffled.
+    """
+    total = counted.agg(F.sum(times)).first()[0] or 0
+    least = max(2, -(-total // HEAVY_SHARE))
+    heavy = F.broadcast(counted.filter(F.col(times) >= least))
+    rest = rows.join(heavy.select(*keys), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(rest.join(counted.filter(F.col(times) < least), keys))
+
+
+def few(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= FEW_BYTES else df
+
+
 def without_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
+    if not GRAM <= window <= DEEPEST:
+        raise ValueError(f"windows have {GRAM} to {DEEPEST} bytes")
     spark = ready(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
     table = stored(context_table(texts, window), "contexts")
-    anchors = table.groupBy("a").agg(F.count("*").alias("rows"), F.min("c").alias("one"), F.max("c").alias("other")).filter("rows > 1").select("a", (F.col("one") == F.col("other")).alias("sole"))
-    repeated = stored(table.join(anchors, "a"), "repeated")
+    anchors = stored(table.groupBy("a").agg(F.count("*").alias("rows"), F.min("c").alias("one"), F.max("c").alias("other")).filter("rows > 1").select("a", "rows", (F.col("one") == F.col("other")).alias("sole")), "anchors")
+    repeated = stored(split_join(table, anchors, ["a"], "rows").drop("rows"), "repeated")
     discard(table)
     freed(spark)
     mixed = repeated.filter("NOT sole")
     distinct = stored(mixed.groupBy("a", "c").agg(F.min(F.struct("doc_id", "k", "size", "s0", "n")).alias("x"), F.count("*").alias("m")).select("a", "c", "m", "x.*"), "distinct")
-    total = distinct.agg(F.sum(F.col("n") + window)).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+    bytes_of, contexts_of = distinct.agg(F.sum(F.col("n") + window), F.count("*")).first()
+    shards = max(1, -(-(bytes_of or 0) // SHARD_BYTES))
     hot = distinct.groupBy("a").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > HOT).select("a", F.lit(True).alias("hot"))
-    placed = distinct.join(hot, "a", "left").withColumn("shard", F.when(F.col("hot"), -1).otherwise(F.pmod(F.xxhash64("a"), F.lit(shards))).cast("int"))
-    listed = placed.groupBy(F.col("doc_id").alias("own_id"), F.col("k").alias("own_k"), F.col("size").alias("own_size")).agg(F.collect_list(F.struct("a", "c", "m", "s0", "n", "shard")).alias("listed"))
+    placed = distinct.join(hot, "a", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    listed = placed.groupBy(F.col("doc_id").alias("own_id"), F.col("k").alias("own_k"), F.col("size").alias("own_size")).agg(F.collect_list(F.struct("a", "c", "m", "s0", "n", "hot")).alias("listed"))
     same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("k") == F.col("own_k")) & (F.col("size") == F.col("own_size"))
-    pieces = stored(sliced(texts.join(listed, same).select("text", "listed"), window), "pieces")
+    pieces = stored(sliced(texts.join(few(listed, 96 * contexts_of), same).select("text", "listed"), window, shards), "pieces")
     freed(spark)
-    sorted_ranges = pieces.filter("shard >= 0").groupBy("shard").applyInArrow(shard_ranges(window), "a long, c long, lo int, hi int")
-    windows = pieces.filter("shard < 0").dropDuplicates(["a", "c", "start"])
-    again = windows.groupBy("a", "data").agg(F.sum("m").alias("times")).filter("times > 1")
-    hot_ranges = windows.join(again, ["a", "data"]).select("a", "c", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    ranges = stored(sorted_ranges.unionByName(hot_ranges), "ranges")
-    found = mixed.join(ranges, ["a", "c"]).select("k", "size", (F.col("s0") + F.col("lo")).alias("lo"), (F.col("s0") + F.col("hi")).alias("hi"))
-    found = found.unionByName(repeated.filter("sole").select("k", "size", F.col("s0").alias("lo"), (F.col("s0") + F.col("n") - 1).alias("hi")))
+    ranges = pieces.groupBy("shard").applyInArrow(shard_ranges(window), "a long, c long, lo int, hi int")
+    ranges = stored(ranges, "ranges")
+    # contexts that occur once get what their shard found, the others repeat as wholes
+    once = distinct.filter("m = 1").select("a", "c", "k", "size", "s0").join(ranges, ["a", "c"]).select("k", "size", (F.col("s0") + F.col("lo")).alias("lo"), (F.col("s0") + F.col("hi")).alias("hi"))
+    again = split_join(mixed, distinct.filter("m > 1").select("a", "c", "m"), ["a", "c"], "m")
+    found = once.unionByName(again.unionByName(repeated.filter("sole"), allowMissingColumns=True).select("k", "size", F.col("s0").alias("lo"), (F.col("s0") + F.col("n") - 1).alias("hi")))
     by_text = stored(found.distinct().groupBy("k", "size").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "by_text")
     discard(pieces)
     freed(spark)
-    return cut(texts.join(by_text, ["k", "size"], "left").select("doc_id", "text", "ranges"), window)
+    size = by_text.agg(F.sum(48 + 16 * F.size("ranges"))).first()[0] or 0
+    return cut(texts.join(few(by_text, size), ["k", "size"], "left").select("doc_id", "text", "ranges"), window)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from fathomline.llm.induced import DEPTH, sorted_suffixes
 
@@ -57,3 +58,16 @@ def test_substrings_that_end_at_a_word():
     for _ in range(60):
         strings = [b"".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(6)]
         assert [c for _, c in induced(strings)] == [c for _, c in plain(strings)]
+
+
+def test_queues_on_disk_and_depth():
+    rng = random.Random(9)
+    strings = [bytes(rng.choice(b"abcd ") for _ in range(900)) for _ in range(3)]
+    strings += [strings[0], strings[1][:700]]
+    spills = []
+    got = induced(strings, limit=50, depth=600, spills=spills)
+    assert spills[0] > 3
+    want = plain(strings)
+    assert [min(c, 255) for _, c in got] == [c for _, c in want] and max(c for _, c in got) == 600
+    with pytest.raises(ValueError):
+        induced(strings, depth=40_000)

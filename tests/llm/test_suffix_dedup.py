@@ -49,5 +49,24 @@ def test_matches_brute_force(spark, monkeypatch, hot):
     assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found), key=str) == brute(rows, 200)
 
 
+@pytest.mark.parametrize("window", [64, 300, 900])
+def test_other_windows_and_queues_on_disk(spark, monkeypatch, window):
+    monkeypatch.setattr(suffix_dedup, "QUEUED", 200)
+    monkeypatch.setattr(suffix_dedup, "FEW_BYTES", 0)
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    shared = text(1200)
+    rows = [(i, text(rng.randint(0, 300)) + shared[rng.randint(0, 200) : rng.randint(900, 1200)] + text(rng.randint(0, 300))) for i in range(12)] + [(50, shared), (51, shared)]
+    found = without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found), key=str) == brute(rows, window)
+
+
+def test_windows_have_bounds(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for window in (63, 32_001):
+        with pytest.raises(ValueError):
+            without_repeats(docs, window)
+
+
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
