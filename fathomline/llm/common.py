@@ -60,9 +60,11 @@ def lean(apply):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master, a temporary one where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir: a folder that driver and executors share")
         at = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -99,16 +101,47 @@ def whole(text: str = "text") -> F.Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-#: Keys up to this number are broadcast when rows are dropped by key; more are shuffled.
-FEW_KEYS = 500_000
+#: Tables up to these bytes are broadcast.
+FEW_BYTES = 32 << 20
+#: A key is heavy with this share of all rows, so there are at most as many.
+HEAVY_SHARE = 1024
+
+
+def sized(df: DataFrame) -> int:
+    """Bytes of a stored table's rows, about: what is in its columns and 32 more a row."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    fixed = 32 + 8 * len(df.columns)
+    return df.agg(F.sum(sum(wide, F.lit(fixed)))).first()[0] or 0
+
+
+def few(df: DataFrame, size: int | None = None) -> DataFrame:
+    """df, broadcast if it is small (size: its bytes, measured if not given)."""
+    return F.broadcast(df) if (sized(df) if size is None else size) <= FEW_BYTES else df
+
+
+def split_join(rows: DataFrame, counted: DataFrame, keys: list[str], times: str, total: int | None = None) -> DataFrame:
+    """rows joined with counted by keys; counted has each key once and in ``times`` how many of the rows have it.
+
+    Keys with a share of 1 / HEAVY_SHARE of all rows or more, HEAVY_SHARE at most, are broadcast, the others shuffled.
+    """
+    total = (counted.agg(F.sum(times)).first()[0] or 0) if total is None else total
+    least = max(2, -(-total // HEAVY_SHARE))
+    heavy = F.broadcast(counted.filter(F.col(times) >= least))
+    rest = rows.join(heavy.select(*keys), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(rest.join(counted.filter(F.col(times) < least), keys))
 
 
 def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, F.Column]) -> DataFrame:
     """The rows of docs, all columns, whose keys (name in dropped: expression over docs; null equals null) aren't in dropped."""
-    gone = stored(dropped.select(*[F.col(k).alias(f"gone {k}") for k in keys]).distinct(), "gone")
-    few = F.broadcast(gone) if gone.count() <= FEW_KEYS else gone
-    same = [x.eqNullSafe(F.col(f"`gone {k}`")) for k, x in keys.items()]
+    mark = "gone " + uuid.uuid4().hex  # no column of docs has such a name
+    gone = few(stored(dropped.select(*[F.col(k).alias(f"{mark} {k}") for k in keys]).distinct(), "gone"))
+    same = [x.eqNullSafe(F.col(f"`{mark} {k}`")) for k, x in keys.items()]
     condition = same[0]
     for x in same[1:]:
         condition = condition & x
-    return docs.join(few, condition, "left_anti")
+    return docs.join(gone, condition, "left_anti")
+
+
+def digest128(text: F.Column) -> F.Column:
+    """The first 128 bits of a text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))

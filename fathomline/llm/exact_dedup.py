@@ -75,11 +75,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs, all columns, for each distinct text: that with the smallest doc_id (of repeated rows, any)."""
-    found = stored(exact_dedup(docs, id_col, text_col), "exact")
-    own = {"doc_id": F.col(id_col).cast("long"), "text_sha256": F.sha2(F.regexp_replace(whole(text_col), WHITE, " "), 256)}
-    kept = found.filter("kept").select("doc_id", "text_sha256")
-    repeated = found.join(kept, [found["doc_id"].eqNullSafe(kept["doc_id"]), found["text_sha256"] == kept["text_sha256"]], "left_semi").filter("NOT kept")
-    left = without(docs, found.filter("NOT kept").select("doc_id", "text_sha256").exceptAll(repeated.select("doc_id", "text_sha256")), own)
+    found = exact_dedup(docs, id_col, text_col).select("doc_id", "kept", F.unhex("text_sha256").alias("digest"))
+    found = stored(found, "exact")
+    own = {"doc_id": F.col(id_col).cast("long"), "digest": F.unhex(F.sha2(F.regexp_replace(whole(text_col), WHITE, " "), 256))}
+    kept = found.filter("kept").select("doc_id", "digest")
+    repeated = found.filter("NOT kept").join(kept, [found["doc_id"].eqNullSafe(kept["doc_id"]), found["digest"] == kept["digest"]], "left_semi")
+    left = without(docs, found.filter("NOT kept").select("doc_id", "digest").exceptAll(repeated.select("doc_id", "digest")), own)
     if repeated.isEmpty():
         return left
     return left.withColumns({f"own {k}": x for k, x in own.items()}).dropDuplicates([f"own {k}" for k in own]).drop(*[f"own {k}" for k in own])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW_KEYS, lean, ready, stored, whole, without
+from .common import digest128, few, lean, ready, split_join, stored, whole, without
 from .components import components, stars
 
 SEED = 42
@@ -81,16 +81,16 @@ def fingerprints_of(texts: list[str], size: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, k (a hash of the text) and fingerprint (a long with the 64 bits) of every row."""
+    """doc_id and fingerprint (a long with the 64 bits) of every row."""
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = fingerprints_of(batch.column(2).to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "k", "fingerprint"])
+            found = fingerprints_of(batch.column(1).to_pylist(), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fingerprint"])
 
     ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole(text_col)).alias("k"), whole(text_col).alias("text"))
-    return rows.mapInArrow(lean(apply), "doc_id long, k long, fingerprint long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
+    return rows.mapInArrow(lean(apply), "doc_id long, fingerprint long")
 
 
 def distance(points: np.ndarray, vantage: int) -> np.ndarray:
@@ -185,20 +185,20 @@ def near_links(distinct: DataFrame, reach: int) -> DataFrame:
 
 
 def rooted(rows: DataFrame, reach: int) -> DataFrame:
-    """fingerprint, first (its least doc_id) and root of every distinct fingerprint in rows."""
-    distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
+    """fingerprint, first (its least doc_id), rows that have it, and root of every distinct fingerprint in rows."""
+    distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "distinct")
     found = components(near_links(distinct, reach))
     named = distinct.join(found, distinct["fingerprint"] == found["node"], "left")
-    return stored(named.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")), "named")
+    return stored(named.select("fingerprint", "first", "rows", F.coalesce("root", "fingerprint").alias("root")), "named")
 
 
 def near_components(docs: DataFrame, shingle: int = 3, reach: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id that links reach) of every row."""
     rows = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     named = rooted(rows, reach)
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fingerprint = named.join(ids, "root").select("fingerprint", "component_id")
-    return rows.join(by_fingerprint, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
+    by_fingerprint = stored(split_join(named, ids, ["root"], "prints").select("fingerprint", "component_id", "rows"), "ids")
+    return split_join(rows, by_fingerprint, ["fingerprint"], "rows").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: For a similarity of whole shingle sets: 64-bit words of a fingerprint, minima and minima a key.
@@ -295,38 +295,41 @@ def block_links(points: np.ndarray, reach: int) -> np.ndarray:
 def similar_links(rows: DataFrame, reach: int) -> DataFrame:
     """Links a, b between texts (column k) of one block; rows: k, print, keys."""
 
-    def settle(points: list[bytes], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def settle(points: list[bytes], names: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         words = np.frombuffer(b"".join(points), np.uint64).reshape(len(points), -1)
         first = block_links(words, reach)
-        linked = np.flatnonzero(first != np.arange(len(first)))
-        return names[linked], names[first[linked]]
+        linked = np.flatnonzero(first != np.arange(len(first))).tolist()
+        return [names[i] for i in linked], [names[first[i]] for i in linked]
+
+    def made(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, points, names, a, b, held = None, [], [], [], [], 0
+        key, points, names, a, b = None, [], [], [], []
         for batch in batches:
-            keys, own, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
+            keys, own, prints = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist() if len(keys) else []
             for i, j in zip(starts, [*starts[1:], len(keys)], strict=True):
                 if keys[i] != key and names:
-                    x, y = settle(points, np.concatenate(names))
-                    a.append(x), b.append(y)
-                    held += len(x)
+                    x, y = settle(points, names)
+                    a += x
+                    b += y
                     points, names = [], []
                 key = keys[i]
                 points += prints[i:j]
-                names.append(own[i:j])
-            if held > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                a, b, held = [], [], 0
+                names += own[i:j]
+            if len(a) > 10_000:
+                yield made(a, b)
+                a, b = [], []
         if names:
-            x, y = settle(points, np.concatenate(names))
-            a.append(x), b.append(y)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            x, y = settle(points, names)
+            a += x
+            b += y
+        yield made(a, b)
 
     blocks = rows.select("k", "print", F.explode("keys").alias("key"))
     shared = blocks.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
-    return blocks.join(shared, "key").select("key", "k", "print").repartition("key").sortWithinPartitions("key", "k").mapInArrow(lean(link), "a long, b long")
+    return blocks.join(shared, "key").select("key", "k", "print").repartition("key").sortWithinPartitions("key", "k").mapInArrow(lean(link), "a binary, b binary")
 
 
 def shared_counts(own: np.ndarray, sets: np.ndarray, starts: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -381,9 +384,9 @@ def exact_links(texts: DataFrame, proposed: DataFrame, shingle: int, similarity:
                 file.flush()
                 sets = np.memmap(file, np.uint64, "r")
             words, starts = np.frombuffer(b"".join(points), np.uint64).reshape(len(points), -1), np.cumsum([0, *sizes])
-            first, own = exact_groups(sets, starts, words, similarity, reach), np.array(names, np.int64)
-            linked = np.flatnonzero(first != np.arange(len(first)))
-            return pa.RecordBatch.from_arrays([pa.array(own[linked]), pa.array(own[first[linked]])], names=["node", "root"])
+            first = exact_groups(sets, starts, words, similarity, reach)
+            linked = np.flatnonzero(first != np.arange(len(first))).tolist()
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i in linked], pa.binary()), pa.array([names[first[i]] for i in linked], pa.binary())], names=["node", "root"])
 
         for batch in batches:
             for group, k, point, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -407,9 +410,8 @@ def exact_links(texts: DataFrame, proposed: DataFrame, shingle: int, similarity:
         if file:
             file.close()
 
-    few = F.broadcast(proposed) if proposed.count() <= FEW_KEYS else proposed
-    rows = texts.join(few, "k").select("root", "k", "print", "text")
-    return rows.repartition("root").sortWithinPartitions("root", "k").mapInArrow(lean(link), "node long, root long")
+    rows = texts.join(few(proposed), "k").select("root", "k", "print", "text")
+    return rows.repartition("root").sortWithinPartitions("root", "k").mapInArrow(lean(link), "node binary, root binary")
 
 
 def near_deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -430,8 +432,8 @@ def near_deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in prints], pa.binary()), listed], names=["doc_id", "k", "print", "keys"])
 
     ready(docs.sparkSession)
-    own = {"doc_id": F.col(id_col).cast("long"), "k": F.xxhash64(whole(text_col))}
-    rows = docs.select(*[x.alias(n) for n, x in own.items()], whole(text_col).alias("text")).mapInArrow(lean(apply), "doc_id long, k long, print binary, keys array<long>")
+    own = {"doc_id": F.col(id_col).cast("long"), "k": digest128(whole(text_col))}
+    rows = docs.select(*[x.alias(n) for n, x in own.items()], whole(text_col).alias("text")).mapInArrow(lean(apply), "doc_id long, k binary, print binary, keys array<long>")
     rows = stored(rows, "prints")
     reach = bits_apart(similarity)
     proposed = components(similar_links(rows.dropDuplicates(["k"]), reach))
@@ -441,5 +443,5 @@ def near_deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     grouped = stored(rows.select("doc_id", "k").join(links, F.col("k") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "k").alias("root")), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
     first = grouped.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
-    dropped = grouped.join(first, "root").filter(order != F.col("first")).select("doc_id", "k")
+    dropped = split_join(grouped, stored(first, "first"), ["root"], "rows").filter(order != F.col("first")).select("doc_id", "k")
     return without(docs, dropped, own)

@@ -32,13 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, contexts, sub_contexts
-from .common import discard, lean, ready, stored, whole
+from .common import discard, few, lean, ready, split_join, stored, whole
 from .induced import DEEPEST, sorted_suffixes
 
 #: Bytes of a shard, about; contexts of an anchor beyond which they are dealt by their second anchors; queue entries in memory.
 SHARD_BYTES, HOT, QUEUED = 4 << 20, 4096, 1 << 19
-#: A key is heavy with this share of all rows, so there are at most as many; tables up to these bytes are broadcast.
-HEAVY_SHARE, FEW_BYTES = 1024, 24 << 20
 PIECE = 4 << 20
 
 
@@ -177,22 +175,6 @@ def freed(spark) -> None:
     spark._jvm.System.gc()
 
 
-def split_join(rows: DataFrame, counted: DataFrame, keys: list[str], times: str) -> DataFrame:
-    """rows joined with counted by keys; counted has each key once and in ``times`` how many of the rows have it.
-
-    Keys with a share of 1 / HEAVY_SHARE of all rows or more, HEAVY_SHARE at most, are broadcast, the others shuffled.
-    """
-    total = counted.agg(F.sum(times)).first()[0] or 0
-    least = max(2, -(-total // HEAVY_SHARE))
-    heavy = F.broadcast(counted.filter(F.col(times) >= least))
-    rest = rows.join(heavy.select(*keys), keys, "left_anti")
-    return rows.join(heavy, keys).unionByName(rest.join(counted.filter(F.col(times) < least), keys))
-
-
-def few(df: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(df) if size <= FEW_BYTES else df
-
-
 def without_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
     if not GRAM <= window <= DEEPEST:

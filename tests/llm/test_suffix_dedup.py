@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from fathomline.llm import suffix_dedup
+from fathomline.llm import common, suffix_dedup
 from fathomline.llm.suffix_dedup import without_repeats
 
 
@@ -52,7 +52,7 @@ def test_matches_brute_force(spark, monkeypatch, hot):
 @pytest.mark.parametrize("window", [64, 300, 900])
 def test_other_windows_and_queues_on_disk(spark, monkeypatch, window):
     monkeypatch.setattr(suffix_dedup, "QUEUED", 200)
-    monkeypatch.setattr(suffix_dedup, "FEW_BYTES", 0)
+    monkeypatch.setattr(common, "FEW_BYTES", 0)
     rng = random.Random(11)
     text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
     shared = text(1200)
