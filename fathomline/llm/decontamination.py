@@ -1,8 +1,8 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame operations only.
 
-Words are the runs of letters and digits of the lower-cased text; a text's shingles are its distinct runs of five words
-(the whole sequence if it has fewer, nothing if it has no word). A document contains an item if it has at least
-``least`` of the item's shingles.
+Words are the runs of letters and digits of the lower-cased text; an item's shingles are its distinct runs of five words
+(the whole sequence if it has fewer, nothing if it has no word). A document contains an item if at least ``least`` of the
+item's shingles are among its own runs of as many words; so items of one to four words are found inside documents too.
 
 Search: items are partitioned by their number of shingles, in powers of two. An item's sketch is its bottom hashes (the
 MinHash order): of n shingles a match lacks n - ceil(least n) at most, so of one more bottom hashes it has at least one,
@@ -13,7 +13,8 @@ shingles themselves, for whole texts.
 
 Sketches and found pairs are broadcast only if a count shows that they are few; otherwise they are shuffled.
 
-Null texts count as empty and contain nothing; items without words are in no document; rows of one doc_id (null
+Null texts count as empty and contain nothing; texts of any length are searched whole; items without words are in no
+document; a containment of exactly ``least`` counts, and a document may contain several items; rows of one doc_id (null
 included) are one document with the shingles of all; the same for item_id. Empty tables give an empty result. Other
 columns are ignored.
 """
@@ -49,6 +50,11 @@ def runs(words: Column, size: int, make) -> Column:
     return let(words, of)
 
 
+def own_runs(words: Column, size: Column, make) -> Column:
+    """make(run) for each run of ``size`` words; none of fewer words."""
+    return let(words, lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: make(F.slice(w, i, size)))))
+
+
 def spaced(run: Column) -> Column:
     return F.array_join(run, " ")
 
@@ -76,18 +82,26 @@ def contained_items(docs: DataFrame, items: DataFrame, least: float = 0.8, shing
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     items = stored(item_shingles(items, shingle, item_col, item_text_col), "items")
     sketch = stored(sketches(items, least), "sketches")
+    lengths = items.select(F.explode(F.array_distinct(F.transform("shingles", lambda x: F.size(F.split(x, " "))))).alias("k")).distinct()
+    sizes = sorted(x.k for x in lengths.collect()) or [shingle]  # at most ``shingle`` numbers
     parts = sketch.groupBy("part").agg(F.max("hash").alias("bound"), F.count("*").alias("rows")).collect()  # a row for each power of two
     bound = max((x.bound for x in parts), default=0)
-    probed = let(runs(word_list(F.col("text")), shingle, F.xxhash64), lambda hashes: F.transform(F.filter(hashes, lambda h: h <= bound), lambda h: F.struct(h.alias("hash"), F.size(hashes).alias("size"))))
-    probes = texts.select("doc_id", F.explode_outer(probed).alias("x")).select("doc_id", "x.hash", "x.size")  # outer: else Spark evaluates the array twice
+    probes = None
+    most = lambda hashes: F.size(hashes) if len(sizes) == 1 else (F.size(hashes) + shingle) * len(sizes)  # noqa: E731  runs of all lengths together
+    for k in sizes:
+        probed = let(own_runs(word_list(F.col("text")), F.lit(k), F.xxhash64), lambda hashes: F.transform(F.filter(hashes, lambda h: h <= bound), lambda h: F.struct(h.alias("hash"), most(hashes).alias("size"))))
+        own = texts.select("doc_id", F.explode_outer(probed).alias("x")).select("doc_id", "x.hash", "x.size")  # outer: else Spark evaluates the array twice
+        probes = own if probes is None else probes.unionByName(own)
     enough = F.ceil(F.lit(least) * F.pow(F.lit(2), F.col("part")))
     found = probes.join(maybe_broadcast(sketch, sum(x.rows for x in parts), FEW_HASHES), "hash").filter(F.col("size") >= enough)
     pairs = stored(found.groupBy("doc_id", "item_id").agg(F.count("*").alias("hits")).select(F.col("doc_id").alias("found_id"), "item_id"), "pairs")
     pair_rows, shingle_rows = pairs.count(), items.agg(F.sum(F.size("shingles"))).first()[0] or 0
     chosen = texts.join(maybe_broadcast(pairs, pair_rows, FEW_PAIRS), F.col("doc_id").eqNullSafe(F.col("found_id")))
-    listed = chosen.join(maybe_broadcast(items, shingle_rows, FEW_SHINGLES), "item_id")
-    own = runs(word_list(F.col("text")), shingle, spaced)
-    shared = listed.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_item"), F.array_intersect("shingles", own).alias("shared"))
+    sized = items.select("item_id", F.size("shingles").cast("long").alias("n_item"), F.explode("shingles").alias("shingle")).withColumn("k", F.size(F.split("shingle", " ")))
+    sized = sized.groupBy("item_id", "n_item", "k").agg(F.collect_list("shingle").alias("shingles"))
+    listed = chosen.join(maybe_broadcast(sized, shingle_rows, FEW_SHINGLES), "item_id")
+    own = own_runs(word_list(F.col("text")), F.col("k"), spaced)
+    shared = listed.select("doc_id", "item_id", "n_item", F.coalesce(F.array_intersect("shingles", own), F.array().cast("array<string>")).alias("shared"))
     whole_docs = shared.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.size(F.array_distinct(F.flatten(F.collect_list("shared")))).cast("long").alias("n_shared"))
     return whole_docs.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("n_shared") >= F.ceil(F.lit(least) * F.col("n_item"))).select("doc_id", "item_id", "n_shared", "n_item", "containment")
 

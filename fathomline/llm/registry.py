@@ -71,9 +71,11 @@ def oracle_sql() -> dict[str, str]:
                 SELECT 'd' AS kind, doc_id AS id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents
                 UNION ALL
                 SELECT 'i', item_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] FROM benchmark),
+            needed AS (SELECT DISTINCT least(5, len(w)) AS k FROM words WHERE kind = 'i' AND len(w) > 0),
             runs AS (
-                SELECT kind, id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
-                                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+                SELECT kind, id, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS s FROM words CROSS JOIN needed WHERE kind = 'd' AND len(w) >= k
+                UNION ALL
+                SELECT kind, id, unnest([array_to_string(w[i:i + least(5, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(5, len(w)) + 2)]) FROM words WHERE kind = 'i' AND len(w) > 0),
             own AS (SELECT DISTINCT kind, id, s FROM runs),
             sizes AS (SELECT id AS item_id, count(*) AS n_item FROM own WHERE kind = 'i' GROUP BY id),
             hits AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM own d JOIN own i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)

@@ -4,7 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
-from fathomline.llm.exact_dedup import exact_dedup, heavy_hitters, digests
+from fathomline.llm.exact_dedup import deduplicated, digests, exact_dedup, heavy_hitters
 
 
 def brute(rows):
@@ -39,3 +39,12 @@ def test_heavy_hitters_are_found_and_few(spark):
 
 def test_empty_table(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stage(spark):
+    rows = [(5, "a b", 1), (3, "a  b", 2), (None, "a b", 3), (3, "a  b", 2), (7, None, 4), (8, "", 5), (None, "alone", 6), (9, "long " * 100_000, 7), (10, "long " * 100_000, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int")
+    kept = deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(x.doc_id), x.digest) for x in kept.collect()) == [("3", 2), ("7", 4), ("9", 7), ("None", 6)]
+    assert deduplicated(docs.limit(0)).count() == 0

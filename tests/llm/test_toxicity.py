@@ -1,9 +1,13 @@
 """Toxicity: held-out accuracy, no leak of held-out labels, odd rows."""
 
+import math
 import random
 import zlib
 
-from fathomline.llm.toxicity import accepted, toxicity
+import numpy as np
+from pyspark.sql import functions as F
+
+from fathomline.llm.toxicity import BITS, Model, accepted, toxicity
 
 
 def table(spark):
@@ -42,3 +46,37 @@ def test_without_labels(spark):
     docs, labels = table(spark)
     assert {x.score for x in toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity(docs.limit(0), labels).count() == 0
+
+
+def brute_places(text):
+    """The places of a text's n-grams, one at a time."""
+    data = b" " + b" ".join(text.lower().encode().split()) + b" " if text else b""
+    out = set()
+    for n in (4, 5, 6):
+        for i in range(len(data) - n + 1):
+            code = 0
+            for b in data[i : i + n]:
+                code = (code * 0x01000193 + b + 1) % (1 << 32)
+            out.add((((code ^ code >> 15) * 0x85EBCA6B) % (1 << 32)) >> (32 - BITS))
+    return out
+
+
+def test_scores_by_brute_force():
+    rng = random.Random(2)
+    places = rng.sample(range(1 << BITS), 60_000)
+    weights = np.array([rng.gauss(0, 0.4) for _ in places], np.float32)
+    table = dict(zip(places, weights.tolist(), strict=True))
+    texts = ["", "Äpfel  und\tBirnen", "ab", "x" * 3000] + ["".join(rng.choice("abc de") for _ in range(rng.randint(0, 400))) for _ in range(40)]
+    found = Model(np.array(places), weights, -0.3).scorer()(texts)
+    for text, score in zip(texts, found, strict=True):
+        want = 1 / (1 + math.exp(-(-0.3 + sum(table.get(p, 0.0) for p in brute_places(text)))))
+        assert abs(score - want) < 1e-5
+
+
+def test_one_text_of_a_repeated_doc_id(spark):
+    docs, labels = table(spark)
+    more = docs.unionByName(docs.filter("doc_id < 300").withColumn("text", F.lit("another text altogether")))
+    key = lambda rows: sorted((str(x.doc_id), x.score) for x in rows)
+    assert key(toxicity(more, labels).collect()) == key(toxicity(more.repartition(7), labels).collect())
+    kept = accepted(more.limit(0), labels)
+    assert kept.columns == more.columns and kept.count() == 0
