@@ -71,15 +71,34 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Paths that this process has made in shared folders and not deleted yet.
+MADE: list[str] = []
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def swept(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes what was made since MADE had that length, but for the table to keep: call it when no result is still to be read."""
+    kept = {os.path.dirname(x) for x in keep.inputFiles()} if keep is not None else set()
+    for path in MADE[since:]:
+        if not any(x.endswith(os.path.basename(path)) for x in kept):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            MADE.remove(path)
+
+
+#: Tasks for each core that write a stored table, at most: many small partitions would make as many small files.
+TASKS_A_CORE = 4
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a DataFrame to the shared folder and reads it back: lineage is cut and lost executors lose nothing."""
     path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    df.coalesce(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,8 @@ or that is itself a core of the corpus, is refused and the next attempt is tried
 addresses get longer with the attempts, so they never run out. Private IPv4 addresses and phone numbers of up to eight
 digits have small spaces: a keyed permutation without fixed points serves there, and other cores are not refused.
 
-Null text counts as empty; the replaced text depends on the text alone, so repeated rows and rows with a null doc_id are
+Of two cores that want one surrogate the lesser gets it. Null text counts as empty; texts of any length are searched
+whole; the replaced text depends on the text alone, so repeated rows and rows with a null doc_id are
 treated alike; an empty table gives an empty result; columns other than those named are ignored.
 """
 
@@ -26,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, stored, whole
+from .common import FEW_BYTES, ready, stored, whole
 from .decontamination import let
 
 #: Forms of address by gender, and given names that are taken for one before a surname. Fixed values.
@@ -34,22 +35,34 @@ MALE_TITLES = "Mr Herr Monsieur Señor Don Mister Г-н Господин Κύρ
 FEMALE_TITLES = "Mrs Ms Miss Frau Madame Mme Señora Doña Г-жа Госпожа Κυρία".split()
 MALE_NAMES = "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Peter Hans Klaus Jürgen Wolfgang Pierre Jean Michel Carlos José Juan Luis Иван Пётр Николай Алексей Γιώργος Νίκος".split()
 FEMALE_NAMES = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Emily Anna Laura Ursula Monika Sabine Petra Marie Nathalie Isabelle Sophie María Carmen Ana Lucía Elena Анна Мария Ольга Елена Μαρία Ελένη".split()
+
+
+def one_of(words: list[str]) -> str:
+    """A pattern for any of the words that reads a first letter once; longer words come first, as they were meant to."""
+    by_first: dict[str, list[str]] = {}
+    for x in sorted(set(words), key=lambda x: (-len(x), x)):
+        by_first.setdefault(x[0], []).append(x[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items())
+
+
 KINDS = {
-    "email": r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
-    "ip6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|(?:[Ff][Ee]80|[Ff][CcDd][0-9A-Fa-f]{2}|[23][0-9A-Fa-f]{3}):(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
-    "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    "iban": r"(?=[A-Z])\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ip": r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
+    "ip6": r"(?=[0-9A-Fa-f]{1,4}:)(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|(?:[Ff][Ee]80|[Ff][CcDd][0-9A-Fa-f]{2}|[23][0-9A-Fa-f]{3}):(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "ssn": r"(?=[0-9])(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ \-][0-9]{4}(?![0-9])|(?<![0-9][ .\-]|[0-9])(?:1[ .\-])?[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![ .\-]?[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ \-]){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{12,19}(?![0-9])",
 }
 #: A word of a name: Miller, Smith-Jones, O'Brien.
 WORD = r"\p{Lu}(?:\p{L}+|['’]\p{Lu}\p{L}+)(?:[\-'’]\p{Lu}\p{L}+)*"
-TITLED = rf"\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? {WORD}(?: {WORD})?"
-NAMED = rf"\b(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)})(?:-\p{{Lu}}\p{{L}}+)? {WORD}"
+TITLED = rf"(?=\p{{Lu}})\b(?:{one_of(MALE_TITLES + FEMALE_TITLES)})\.? {WORD}(?: {WORD})?"
+NAMED = rf"(?=\p{{Lu}})\b(?:{one_of(MALE_NAMES + FEMALE_NAMES)})(?:-\p{{Lu}}\p{{L}}+)? {WORD}"
 #: \b of Java's regex takes letters of all scripts for words only with (?U).
 PATTERN = "(?U)" + "|".join([*KINDS.values(), TITLED, NAMED])
 PERSON = "(?U)" + "|".join([TITLED, NAMED])
+#: What every text with a mention matches, in one quick pass; other texts are passed by.
+HINT = rf"[0-9@]|[A-Fa-f]:[A-Fa-f:]|(?=\p{{Lu}})(?<!\p{{L}})(?:{one_of(MALE_TITLES + FEMALE_TITLES + MALE_NAMES + FEMALE_NAMES)})[. \-]"
 #: Parts of surrogate names. Fixed values.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ge ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se sta ta te to va ve zo".split(),
@@ -264,6 +277,11 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError("a kind of entity has too few distinct surrogates")
 
 
+def content(text: str) -> Column:
+    """What tells texts of one doc_id apart."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def lone_names(text: Column) -> Column:
     """The words of a text's names as structs of piece and kind, longest first; null if it has none."""
     listed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0)), pieces))
@@ -275,12 +293,16 @@ def lone_names(text: Column) -> Column:
 def pseudonymized(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with surrogates and n_entities (mentions replaced) of every row."""
     ready(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("content", F.xxhash64("text"))
-    found = texts.withColumn("people", lone_names(F.col("text")))
-    alone = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}_])(?:"), F.array_join(F.transform("people", lambda x: x["piece"]), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
-    without_people = found.filter("people IS NULL").select("doc_id", "content", F.lit(None).cast("string").alias("pattern"), "people", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found"))
-    with_people = found.filter("people IS NOT NULL").withColumn("pattern", alone).select("doc_id", "content", "pattern", "people", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("found"))
-    mentions = without_people.unionByName(with_people).select("doc_id", "content", "pattern", "people", F.posexplode("found").alias("pos", "mention"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
+    hinted = F.col("text").rlike(HINT)
+
+    def listed(people: Column) -> Column:
+        alone = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}_])(?:"), F.array_join(F.transform(people, lambda x: x["piece"]), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+        found = F.when(people.isNull(), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.regexp_extract_all("text", alone, F.lit(0)))
+        return F.struct(F.when(people.isNotNull(), alone).alias("pattern"), people.alias("people"), found.alias("found"))
+
+    found = texts.filter(hinted).select("doc_id", content("text").alias("content"), let(lone_names(F.col("text")), listed).alias("own"))
+    mentions = found.select("doc_id", "content", "own.pattern", "own.people", F.posexplode_outer("own.found").alias("pos", "mention")).filter("mention IS NOT NULL")
     known = F.filter("people", lambda x: x["piece"] == F.col("mention"))
     lone = F.transform(F.slice(known, 1, 1), lambda x: F.struct(x["kind"].alias("kind"), x["piece"].alias("piece"), F.lower(x["piece"]).alias("core")))
     own = F.when(F.coalesce(F.size(known), F.lit(0)) > 0, lone).otherwise(pieces(F.col("mention")))
@@ -290,8 +312,13 @@ def pseudonymized(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     shown = parts.join(named, ["kind", "core"], "left").select("doc_id", "content", "pattern", "pos", "part", rendered().alias("shown"))
     by_mention = shown.groupBy("doc_id", "content", "pattern", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "shown"))), lambda x: x.shown), " ").alias("shown"))
     by_text = by_mention.groupBy("doc_id", "content", "pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x.shown).alias("shown"))
-    by_text = by_text.select(F.col("doc_id").alias("own_id"), F.col("content").alias("own_content"), "pattern", "shown")
-    joined = texts.join(by_text, (F.col("content") == F.col("own_content")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
+    by_text = stored(by_text.select(F.col("doc_id").alias("own_id"), F.col("content").alias("own_content"), "pattern", "shown"), "by_text")
+    size = by_text.agg(F.sum(80 + F.coalesce(F.length("pattern"), F.lit(0)) + F.aggregate("shown", F.lit(0), lambda a, x: a + F.octet_length(x) + 16))).first()[0] or 0
+    small = size <= FEW_BYTES
+    own = F.broadcast(by_text) if small else by_text
+    same = (F.when(hinted, content("text")) == F.col("own_content")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
+    joined = (texts if small else texts.filter(hinted)).join(own, same, "left")  # texts are shuffled only if the mentions are many
     gaps = F.when(F.col("pattern").isNull(), F.split("text", PATTERN, -1)).otherwise(F.split("text", F.col("pattern"), -1))
     whole_text = F.array_join(F.flatten(F.zip_with(gaps, F.concat("shown", F.array(F.lit(""))), lambda gap, new: F.array(gap, new))), "")
-    return joined.select("doc_id", F.when(F.col("shown").isNull(), F.col("text")).otherwise(whole_text).alias("text"), F.coalesce(F.size("shown"), F.lit(0)).cast("long").alias("n_entities"))
+    changed = joined.select("doc_id", F.when(F.col("shown").isNull(), F.col("text")).otherwise(whole_text).alias("text"), F.coalesce(F.size("shown"), F.lit(0)).cast("long").alias("n_entities"))
+    return changed if small else changed.unionByName(texts.filter(~hinted).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities")))

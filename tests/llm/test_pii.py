@@ -1,5 +1,6 @@
 """Surrogates: format, distinctness, coreference, and nothing left of the originals."""
 
+import os
 import re
 
 import pytest
@@ -95,3 +96,32 @@ def test_lone_names_and_more_formats(spark):
     third = re.fullmatch(r"Weber alone is nobody here\. Call (\d{3}-\d{3}-\d{4}) or (\d{3}\.\d{3}\.\d{4}), not 1234-555-123-4567\.", text[3])
     assert third[1] == third[2].replace(".", "-") != "555-123-4567"
     assert "db8" not in text[4] and "fe80::1" not in text[4] and text[4].endswith("but std::vector and 12:30:45.")
+
+
+def test_whole_table_by_brute_force(spark):
+    """Every e-mail address, card and IPv4 address of a table, found by plain Python, has one surrogate of its own."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.isdir(os.path.dirname(path)):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    old = {x.doc_id: x.text or "" for x in docs.collect()}
+    new = {x.doc_id: x.text for x in pseudonymized(docs, "k").collect()}
+    assert old.keys() == new.keys()
+    for pattern, plain in ((r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", str.lower), (r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])", str), (r"(?<!\d)\d{16}(?!\d)", str)):
+        given: dict[str, str] = {}
+        for i, text in old.items():
+            before, after = re.findall(pattern, text), re.findall(pattern, new[i])
+            assert len(before) == len(after)
+            for a, b in zip(before, after, strict=True):
+                assert given.setdefault(plain(a), plain(b)) == plain(b) != plain(a)
+        assert len(given) == len(set(given.values())) and not set(given) & set(given.values())
+        assert len(given) > 2
+    hint = re.compile(r"\d|@")
+    assert all(new[i] == text for i, text in old.items() if not hint.search(text))
+
+
+def test_long_text_and_people(spark):
+    text = "word " * 200_000 + "Frau Weber, Weber@x.org and Weber " + "word " * 200_000
+    found = pseudonymized(spark.createDataFrame([(1, text), (2, "nobody"), (2, "nobody")], "doc_id long, text string"), "k").collect()
+    one = next(x for x in found if x.doc_id == 1)
+    assert one.n_entities == 3 and "Weber" not in one.text and one.text.startswith("word ") and len([x for x in found if x.text == "nobody"]) == 2
