@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,41 @@ def jump_clamped(pings: DataFrame, value: str = "median", limit: float = 15.0, o
     return pings.groupBy("survey").applyInArrow(scan, schema)
 
 
+def held(values: np.ndarray, limit: float) -> np.ndarray:
+    """Each value within ``limit`` of the one given out before it; only stretches that follow a jump are gone through."""
+    out, settled = values.copy(), 0
+    for jump in (np.flatnonzero(np.abs(np.diff(values)) > limit) + 1).tolist():
+        k = jump
+        while settled <= jump and k < len(values):
+            out[k] = min(max(values[k], out[k - 1] - limit), out[k - 1] + limit)
+            k += 1
+            if out[k - 1] == values[k - 1]:
+                break
+        settled = max(settled, k)
+    return out
+
+
+def tracked(pings: DataFrame, value: str = "alt", width: int = 7, limit: float = 15.0) -> DataFrame:
+    """pings with filled, median and clamped at once: gap_filled, median_filtered and jump_clamped in one pass of each survey.
+
+    A survey is sorted once and its steps are array operations; only the jump limit is a loop.
+    """
+    schema = pings.withColumns({x: F.lit(0.0) for x in ("filled", "median", "clamped")}).schema
+
+    def track(group: pa.Table) -> pa.Table:
+        group = group.sort_by("i")
+        i, v = group["i"].to_numpy().astype(float), group[value].cast(pa.float64()).to_numpy(zero_copy_only=False)
+        known = ~np.isnan(v)
+        filled = np.where(known, v, np.interp(i, i[known], v[known])) if known.any() else np.zeros(len(v))
+        near = np.lib.stride_tricks.sliding_window_view(np.pad(filled, width // 2, mode="edge"), width)
+        median = np.median(near, axis=1)
+        for name, x in (("filled", filled), ("median", median), ("clamped", held(median, limit))):
+            group = group.append_column(name, pa.array(x, pa.float64()))
+        return group
+
+    return pings.groupBy("survey").applyInArrow(track, schema)
+
+
 def altitude_summary(pings: DataFrame, recorded: str = "alt", tracked: str = "clamped") -> DataFrame:
     """Per survey: pings, known values, mean absolute difference where both are known, range of the tracked values."""
     return pings.groupBy("survey").agg(

@@ -79,7 +79,7 @@ def ping_median7(spark, d):
 
 
 def tracked(spark, d):
-    return S.jump_clamped(S.median_filtered(S.gap_filled(relation(spark, d, "pings"))))
+    return S.tracked(relation(spark, d, "pings"))
 
 
 @query("ping_jump_clamp", CLAMPED + " SELECT survey, i, round(c, 6) AS clamped FROM clamp")
@@ -244,16 +244,28 @@ def tile_valid_frac(spark, d):
     return cut.groupBy("frame", "tile").agg(F.count("*").alias("n"), r6(F.avg("v")).alias("mean"), r6(F.avg(F.col("valid").cast("int"))).alias("valid_frac"))
 
 
+#: Canny edges: gradients with repeated borders, thinning across them, weak edges joined to strong ones; then their share.
+EDGES = """ep AS MATERIALIZED (SELECT CAST(frame AS BIGINT) AS frame, CAST(r AS INT) AS r, c, v, CAST(max(r) OVER (PARTITION BY frame) AS INT) AS top, max(c) OVER (PARTITION BY frame) AS side FROM [pixels]),
+    eg AS (SELECT a.frame, a.r, a.c, sum(b.v * dx * (2 - abs(dy))) AS gx, sum(b.v * dy * (2 - abs(dx))) AS gy FROM ep a CROSS JOIN range(-1, 2) y(dy) CROSS JOIN range(-1, 2) x(dx) JOIN ep b ON b.frame = a.frame AND b.r = greatest(0, least(a.top, a.r + dy)) AND b.c = greatest(0, least(a.side, a.c + dx)) GROUP BY a.frame, a.r, a.c),
+    es AS MATERIALIZED (SELECT frame, r, c, abs(gx) + abs(gy) AS size, CASE (CAST(round(atan2(gy, gx) / (pi() / 4)) AS INT) + 8) % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 1 END AS dy, CASE (CAST(round(atan2(gy, gx) / (pi() / 4)) AS INT) + 8) % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END AS dx FROM eg),
+    thin AS MATERIALIZED (SELECT e.frame, e.r, e.c, e.size FROM es e LEFT JOIN es a ON a.frame = e.frame AND a.r = e.r + e.dy AND a.c = e.c + e.dx LEFT JOIN es b ON b.frame = e.frame AND b.r = e.r - e.dy AND b.c = e.c - e.dx WHERE e.size > 50 AND e.size > coalesce(b.size, 0) AND e.size >= coalesce(a.size, 0)),
+    edge AS (SELECT frame, r, c FROM thin WHERE size > 150 UNION SELECT t.frame, t.r, t.c FROM edge e JOIN thin t ON t.frame = e.frame AND t.r BETWEEN e.r - 1 AND e.r + 1 AND t.c BETWEEN e.c - 1 AND e.c + 1),
+    density AS (SELECT frame, n / m AS edge_density FROM (SELECT frame, count(*) AS m FROM ep GROUP BY frame) JOIN (SELECT ep.frame, count(e.r) AS n FROM ep LEFT JOIN edge e ON e.frame = ep.frame AND e.r = ep.r AND e.c = ep.c GROUP BY ep.frame) USING (frame))"""
+
+
 @query(
     "tile_quality",
-    "WITH " + BOX + """, w AS (SELECT frame, stddev_pop(mean) AS sd, stddev_pop(v - mean) AS ns, (quantile_cont(v, 0.95) - quantile_cont(v, 0.05)) / 255 AS contrast, avg((v <= 2 OR v >= 253)::INT) AS saturation FROM box GROUP BY frame),
+    "WITH RECURSIVE " + BOX + ", " + EDGES + """, w AS (SELECT frame, stddev_pop(mean) AS sd, stddev_pop(v - mean) AS ns, (quantile_cont(v, 0.95) - quantile_cont(v, 0.05)) / 255 AS contrast, avg((v <= 2 OR v >= 253)::INT) AS saturation FROM box GROUP BY frame),
     dr AS (SELECT frame, avg(dark) AS dark FROM (SELECT frame, r, (max(v) <= 1)::INT AS dark FROM box GROUP BY frame, r) GROUP BY frame), dc AS (SELECT frame, avg(dark) AS dark FROM (SELECT frame, c, (max(v) <= 1)::INT AS dark FROM box GROUP BY frame, c) GROUP BY frame),
     q AS (SELECT frame, CASE WHEN ns > 1e-6 THEN sd / ns ELSE 10 END AS snr, contrast, saturation, greatest(dr.dark, dc.dark) AS dropout FROM w JOIN dr USING (frame) JOIN dc USING (frame)),
-    z AS (SELECT *, 0.3 * snr / (snr + 1) + 0.25 * least(1, contrast) + 0.2 * least(1, 0.05 / 0.15::DOUBLE) + 0.15 * (1 - dropout) + 0.1 * (1 - saturation) AS score FROM q)
+    z AS (SELECT *, 0.3 * snr / (snr + 1) + 0.25 * least(1, contrast) + 0.2 * least(1, edge_density / 0.15::DOUBLE) + 0.15 * (1 - dropout) + 0.1 * (1 - saturation) AS score FROM q JOIN density USING (frame))
     SELECT frame, round(snr, 6) AS snr, round(contrast, 6) AS contrast, round(dropout, 6) AS dropout, round(saturation, 6) AS saturation, round(score, 6) AS score, CASE WHEN score < 0.404 THEN 'low' ELSE 'ok' END AS flag FROM z""",
 )
 def tile_quality(spark, d):
-    rows = R.tile_proxies(pixels(spark, d)).withColumn("edge_density", F.lit(0.05)).withColumn("score", R.quality_score())
+    from ..operators import kernels as K
+
+    density = K.on_frames(numbered_pixels(spark, d), K.edges).groupBy("frame").agg(F.avg("v").alias("edge_density"))
+    rows = R.tile_proxies(pixels(spark, d)).join(density, "frame").withColumn("score", R.quality_score())
     return rows.select("frame", *[r6(c).alias(c) for c in ("snr", "contrast", "dropout", "saturation", "score")], R.quality_flag(F.col("score")).alias("flag"))
 
 
@@ -491,14 +503,23 @@ def label_todo(spark, d):
     return M.not_done(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
 
 
-# --- kernels: SQL can't express these; tests hold them against analytic cases -------------------------------------------
+# --- kernels: where SQL can't express them, tests hold them against analytic cases -------------------------------------------
 
 
 def numbered_pixels(spark: SparkSession, d: str) -> DataFrame:
     return pixels(spark, d).select(F.col("frame").cast("long").alias("frame"), "r", "c", "v")
 
 
-@query("components_8")
+@query(
+    "components_8",
+    """WITH RECURSIVE on_pixels AS MATERIALIZED (SELECT CAST(frame AS BIGINT) AS frame, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c FROM [pixels] WHERE v >= 60),
+    near AS MATERIALIZED (SELECT a.frame, a.r * 100000 + a.c AS px, b.r * 100000 + b.c AS other FROM on_pixels a CROSS JOIN range(-1, 2) y(dy) CROSS JOIN range(-1, 2) x(dx) JOIN on_pixels b ON b.frame = a.frame AND b.r = a.r + dy AND b.c = a.c + dx),
+    walk AS (SELECT frame, px, px AS label, true AS moved, 0 AS k FROM near WHERE px = other
+             UNION ALL SELECT frame, px, min(label), min(label) < min(own), k + 1 FROM (SELECT n.frame, n.px, w.label, CASE WHEN n.px = n.other THEN w.label END AS own, w.k, max(w.moved) OVER () AS going FROM walk w JOIN near n ON n.frame = w.frame AND n.other = w.px) WHERE going GROUP BY frame, px, k),
+    last AS (SELECT frame, px, label FROM walk WHERE k = (SELECT max(k) FROM walk)),
+    named AS (SELECT frame, px, dense_rank() OVER (PARTITION BY frame ORDER BY label) AS label FROM last)
+    SELECT frame, label, count(*) AS area, min(px // 100000) AS y1, min(px % 100000) AS x1, max(px // 100000) AS y2, max(px % 100000) AS x2 FROM named GROUP BY frame, label""",
+)
 def components_8(spark, d):
     from ..operators import kernels as K
 
@@ -506,7 +527,7 @@ def components_8(spark, d):
     return rows.filter("v > 0").groupBy("frame", F.col("v").cast("long").alias("label")).agg(F.count("*").alias("area"), F.min("r").alias("y1"), F.min("c").alias("x1"), F.max("r").alias("y2"), F.max("c").alias("x2"))
 
 
-@query("edge_density")
+@query("edge_density", "WITH RECURSIVE " + EDGES + " SELECT frame, round(edge_density, 6) AS edge_density FROM density")
 def edge_density(spark, d):
     from ..operators import kernels as K
 
@@ -551,7 +572,7 @@ def survey_preprocess(spark, d):
     return out.qualities.select("tile", r6("score").alias("score"), "flag")
 
 
-@query("jsf_scan")
+@query("jsf_scan", "SELECT vec_id AS frame, 0 AS ping, len(embedding) AS n, CAST(list_sum([trunc(CAST(x AS DOUBLE) * 10000) FOR x IN embedding]) AS DOUBLE) AS total FROM embeddings")
 def jsf_scan(spark, d):
     import struct
 

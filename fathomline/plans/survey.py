@@ -45,7 +45,7 @@ def tracked(pings: DataFrame, c: dict) -> DataFrame:
     """pings with altitude_px from the samples: first returns, gaps filled, spikes and jumps taken out."""
     offset = A.bottom_offset(F.col("samples"), smooth=c["smooth"], rise=c["rise"], slope=c["slope"], least=c["least"])
     series = pings.select(F.col("frame").alias("survey"), F.col("ping").cast("long").alias("i"), offset.alias("alt"))
-    clamped = S.jump_clamped(S.median_filtered(S.gap_filled(series), width=c["median"]), limit=c["jump"])
+    clamped = S.tracked(series, width=c["median"], limit=c["jump"])
     return pings.drop("altitude_px").join(clamped.select(F.col("survey").alias("frame"), F.col("i").cast("int").alias("ping"), F.col("clamped").alias("altitude_px")), ["frame", "ping"])
 
 

@@ -249,3 +249,16 @@ def test_every_order_is_a_box(spark):
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     for name, same in (("boxes_det", F.col("o_orderstatus") == "O"), ("boxes_ano", F.col("o_orderstatus") != "O")):
         assert {x.id for x in relation(spark, folder, name).collect()} == {x.o_orderkey for x in orders.filter(same).collect()}
+
+
+def test_tracking_at_once_is_its_steps(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for survey in range(12):
+        n = int(rng.integers(1, 120))
+        values = np.cumsum(rng.normal(0, rng.choice([1.0, 9.0, 30.0]), n)) + 50
+        rows += [(survey, i, None if rng.random() < 0.2 or survey == 3 else float(v)) for i, v in enumerate(values)]
+    pings = spark.createDataFrame(rows, "survey long, i long, alt double")
+    steps = S.jump_clamped(S.median_filtered(S.gap_filled(pings))).select("survey", "i", "filled", "median", "clamped")
+    key = lambda df: sorted(tuple(round(x, 6) for x in row) for row in df.select("survey", "i", "filled", "median", "clamped").collect())
+    assert key(S.tracked(pings)) == key(steps)
