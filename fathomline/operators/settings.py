@@ -7,7 +7,6 @@ import hashlib
 import json
 import logging
 import os
-import re
 import sys
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +32,10 @@ def load_config(path: str, model):
 
 
 def config_hash(config) -> str:
-    """Twelve hex digits that equal configurations share, whatever the order of their keys; pydantic models count as mappings."""
+    """Twelve hex digits that equal configurations share, whatever the order of their keys; pydantic models count as mappings.
+
+    Fixed format: the SHA-256 of the JSON text with sorted keys.
+    """
     plain = config.model_dump(mode="json") if hasattr(config, "model_dump") else config
     return hashlib.sha256(json.dumps(plain, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
@@ -41,19 +43,19 @@ def config_hash(config) -> str:
 def write_threshold(path: str, key: str, value: float) -> None:
     """Puts a number into the first line of a YAML file that has the key; the rest of the line goes."""
     with open(path, encoding="utf-8") as f:
-        text = f.read()
-    line = re.compile(rf"^(\s*{re.escape(key)}:).*$", re.M)
+        lines = f.read().split("\n")
+    for i, line in enumerate(lines):
+        if line.lstrip().startswith(f"{key}:"):
+            lines[i] = f"{line[: len(line) - len(line.lstrip())]}{key}: {value:.3f}"
+            break
     with open(path, "w", encoding="utf-8") as f:
-        f.write(line.sub(lambda found: f"{found[1]} {value:.3f}", text, count=1))
+        f.write("\n".join(lines))
 
 
-def file_digest(path: str, step: int = 1 << 20) -> str:
-    """The SHA-256 of a file, read in steps."""
-    digest = hashlib.sha256()
+def file_digest(path: str) -> str:
+    """The SHA-256 of a file, which is not held in memory."""
     with open(path, "rb") as f:
-        while part := f.read(step):
-            digest.update(part)
-    return digest.hexdigest()
+        return hashlib.file_digest(f, "sha256").hexdigest()
 
 
 def validated_model(path: str) -> tuple[list[str], list[str]]:

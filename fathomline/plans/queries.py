@@ -143,13 +143,16 @@ def nadir_mask(spark, d):
 
 @query(
     "stack_rows",
-    """WITH s AS (SELECT * FROM [sampled]), k AS (SELECT vec_id AS ping, 40 + vec_id % 25 AS keep FROM embeddings)
-    SELECT k.ping, j AS i, round(CASE WHEN j < 64 THEN coalesce(a.x, 0) ELSE coalesce(b.x, 0) END, 6) AS x FROM k CROSS JOIN range(0, 128) t(j)
-    LEFT JOIN s a ON a.ping = k.ping AND a.i = 63 - j AND a.i < keep LEFT JOIN s b ON b.ping = k.ping AND b.i = j - 64 AND b.i < keep""",
+    """WITH s AS (SELECT * FROM [sampled]), k AS (SELECT vec_id AS ping, len(embedding) AS n, len(embedding) + vec_id % 25 AS port, len(embedding) + vec_id * 7 % 25 AS starboard FROM embeddings), w AS (SELECT max(n) + 24 AS w FROM k),
+    p AS (SELECT ping, n, j, CASE WHEN j < w THEN w - 1 - j ELSE j - w END AS i, CASE WHEN j < w THEN port ELSE starboard END AS own FROM k, w, range(0, 2 * (SELECT w FROM w)) t(j))
+    SELECT p.ping, p.j AS i, round(CASE WHEN p.i < p.n THEN s.x WHEN p.i < p.own THEN 1 ELSE 0 END, 6) AS x FROM p LEFT JOIN s ON s.ping = p.ping AND s.i = p.i""",
 )
 def stack_rows(spark, d):
-    own = F.slice("x", F.lit(1), (40 + F.col("ping") % 25).cast("int"))
-    return long_samples(samples(spark, d).select("ping", A.side_by_side(own, own, F.lit(64)).alias("x")), "x")
+    """Rows are made ragged by ones at their ends."""
+    longer = lambda n: F.concat("x", F.array_repeat(F.lit(1.0), n.cast("int")))
+    rows = samples(spark, d)
+    width = rows.agg(F.max(F.size("x")) + 24).first()[0]
+    return long_samples(rows.select("ping", A.side_by_side(longer(F.col("ping") % 25), longer(F.col("ping") * 7 % 25), F.lit(width)).alias("x")), "x")
 
 
 @query(
