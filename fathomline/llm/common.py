@@ -95,10 +95,14 @@ def swept(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) ->
 TASKS_A_CORE = 4
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it back: lineage is cut and lost executors lose nothing."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes a DataFrame to the shared folder and reads it back: lineage is cut and lost executors lose nothing.
+
+    rows: how many there may be, if that is known; a task writes 100,000 or more.
+    """
     path = fresh(df.sparkSession, name)
-    df.coalesce(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+    tasks = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    df.coalesce(tasks if rows is None else min(tasks, 1 + rows // 100_000)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
         large = split_join(both, least, ["u"], "n", 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = split_join(large, least, ["u"], "n", state[0]).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
-        then = stored(small.select("x.u", F.col("x.m").alias("v")).filter("u <> v").distinct(), "links")
+        then = stored(small.select("x.u", F.col("x.m").alias("v")).filter("u <> v").distinct(), "links", 2 * state[0])
         before, state = state, checksum(then)
         discard(now)
         now = then

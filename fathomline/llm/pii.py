@@ -263,15 +263,16 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
     entities = stored(entities.withColumn("space", space_of(F.col("kind"))), "entities")
     cores = entities.filter(~closed(F.col("kind"), F.col("core"))).select("space", F.col("core").alias("surrogate")).distinct()
     open_rows, done = entities.withColumn("attempt", F.lit(0)), None
+    n = entities.count()
     for _ in range(MOST_ATTEMPTS):
         tried = open_rows.withColumn("surrogate", surrogate(key))
         fresh = tried.join(cores, ["space", "surrogate"], "left_anti")
         if done is not None:
             fresh = fresh.join(done.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
         first = fresh.groupBy("space", "surrogate").agg(F.min(F.struct("kind", "core")).alias("x")).select("space", "surrogate", "x.kind", "x.core")
-        first = stored(first, "assigned")
+        first = stored(first, "assigned", n)
         done = first if done is None else done.unionByName(first)
-        open_rows = stored(open_rows.join(first.select("kind", "core"), ["kind", "core"], "left_anti").withColumn("attempt", F.col("attempt") + 1), "open")
+        open_rows = stored(open_rows.join(first.select("kind", "core"), ["kind", "core"], "left_anti").withColumn("attempt", F.col("attempt") + 1), "open", n)
         if open_rows.isEmpty():
             return done.select("kind", "core", "surrogate")
     raise ValueError("a kind of entity has too few distinct surrogates")
