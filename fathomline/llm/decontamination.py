@@ -80,8 +80,9 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
 def contained_items(docs: DataFrame, items: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_shared, n_item and containment of every pair with a containment of ``least`` or more."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    items = stored(item_shingles(items, shingle, item_col, item_text_col), "items")
-    sketch = stored(sketches(items, least), "sketches")
+    n = items.count()
+    items = stored(item_shingles(items, shingle, item_col, item_text_col), "items", 20 * n)  # rows are lists, so fewer to a task
+    sketch = stored(sketches(items, least), "sketches", 20 * n)
     lengths = items.select(F.explode(F.array_distinct(F.transform("shingles", lambda x: F.size(F.split(x, " "))))).alias("k")).distinct()
     sizes = sorted(x.k for x in lengths.collect()) or [shingle]  # at most ``shingle`` numbers
     parts = sketch.groupBy("part").agg(F.max("hash").alias("bound"), F.count("*").alias("rows")).collect()  # a row for each power of two

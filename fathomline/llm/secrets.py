@@ -38,7 +38,7 @@ KINDS = [
 ]
 CANDIDATE = "|".join(KINDS)
 #: What every text with a candidate matches, in one quick pass.
-HINT = r"(?i:token|secret|passw|passphrase|pwd|credential|api_?-?key|access_?-?key|auth|private)|://|[A-Za-z0-9+/_\-]{16}"
+HINT = r"(?=[tspcaTSPCA])(?i:token|secret|passw|passphrase|pwd|credential|api_?-?key|access_?-?key|auth|private)|://|[A-Za-z0-9+/_\-]{16}"
 #: Characters of context on either side.
 CONTEXT = 48
 #: Words that cover identifiers and placeholders, words that announce secrets, and words that announce harmless strings. Fixed values.

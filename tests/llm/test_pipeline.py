@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from fathomline.llm.tokens import tokenizer_path
 from fathomline.llm.toxicity import toxicity
@@ -93,3 +95,21 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "benchmark_decontamination", "packing"]
+
+
+def test_empty_and_repeated_rows(spark, tmp_path):
+    folder = f"file://{tmp_path}/empty"
+    rows, items = fixture(f"file://{tmp_path}/some", spark)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"file://{tmp_path}/some/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/some/documents.parquet")
+    docs.limit(0).write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    twice = f"file://{tmp_path}/twice"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{twice}/{name}.parquet")
+    few = docs.filter("doc_id < 40")
+    few.unionByName(few).unionByName(few.filter("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(f"{twice}/documents.parquet")
+    once = {x.doc_id for x in few.collect()}
+    found = corpus_pipeline.run(spark, twice).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("whole")).collect()
+    assert found and all(x.n == x.whole for x in found) and {x.doc_id for x in found} <= once
