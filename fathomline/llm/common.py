@@ -33,7 +33,7 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def joined(batches: Iterable[pa.RecordBatch], most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def joined(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches put together until they have ``most`` bytes."""
     held, size = [], 0
     for batch in batches:
@@ -106,6 +106,21 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a partition that a table is dealt to, about.
+PART_BYTES = 256 << 20
+
+
+def parts(df: DataFrame) -> int:
+    """Partitions for a table that is dealt by key or range: by the size that Spark expects, 4 tasks a core or more.
+
+    Where Spark knows no size (it then says some exabytes), the session's number of shuffle partitions serves.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions")) if size >> 50 else size // PART_BYTES
+    return max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, wanted)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stored table that nothing reads any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()

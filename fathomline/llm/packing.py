@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, lean, ready, stored, whole
+from .common import joined, lean, parts, ready, stored, whole
 from .tokens import words
 
 BINS, DIMENSIONS, CELL_BITS = 1024, 4, 10
@@ -155,5 +155,5 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, id_
         return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "tokens" else pa.int64()) for n, x in zip(names, columns, strict=True)], names=names)
 
     table = stored(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens")
-    ranges = table.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id")
+    ranges = table.repartitionByRange(parts(table), "place", "doc_id").sortWithinPartitions("place", "doc_id")
     return ranges.select("doc_id", "ids").mapInArrow(lean(pack), PIECE)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest128, few, lean, ready, split_join, stored, whole, without
+from .common import digest128, few, lean, parts, ready, split_join, stored, whole, without
 from .components import components, stars
 
 SEED = 42
@@ -329,7 +329,7 @@ def similar_links(rows: DataFrame, reach: int) -> DataFrame:
 
     blocks = rows.select("k", "print", F.explode("keys").alias("key"))
     shared = blocks.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
-    return blocks.join(shared, "key").select("key", "k", "print").repartition("key").sortWithinPartitions("key", "k").mapInArrow(lean(link), "a binary, b binary")
+    return blocks.join(shared, "key").select("key", "k", "print").repartition(parts(rows), "key").sortWithinPartitions("key", "k").mapInArrow(lean(link), "a binary, b binary")
 
 
 def shared_counts(own: np.ndarray, sets: np.ndarray, starts: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -411,7 +411,7 @@ def exact_links(texts: DataFrame, proposed: DataFrame, shingle: int, similarity:
             file.close()
 
     rows = texts.join(few(proposed), "k").select("root", "k", "print", "text")
-    return rows.repartition("root").sortWithinPartitions("root", "k").mapInArrow(lean(link), "node binary, root binary")
+    return rows.repartition(parts(texts), "root").sortWithinPartitions("root", "k").mapInArrow(lean(link), "node binary, root binary")
 
 
 def near_deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, joined, lean, ready, whole
+from .common import fresh, joined, lean, parts, ready, whole
 from .tokens import words
 
 MAGIC = b"TOKSST1\n"
@@ -228,7 +228,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    sorted_rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    sorted_rows = rows.repartitionByRange(parts(rows), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     return sorted(sorted_rows.mapInArrow(lean(write), MANIFEST).collect(), key=lambda x: x.shard)
 
 

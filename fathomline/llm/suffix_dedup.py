@@ -91,7 +91,7 @@ def sliced(rows: DataFrame, window: int, shards: int) -> DataFrame:
                     else:
                         for i, j, second in zip(*(y.tolist() for y in sub_contexts(np.frombuffer(own, np.uint8), window)), strict=True):
                             out.append(((x["a"] ^ second * 0x9E3779B97F4A7C15 >> 7) % shards, x["a"], x["c"], x["m"], i, own[i : j + window]))
-                    size += len(own) + 40 * len(out[-1:])
+                    size += len(own) + 40
                     if size > 2 << 20:
                         yield made(out)
                         out, size = [], 0

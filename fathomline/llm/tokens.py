@@ -27,7 +27,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: ends in a mark.
 ENDING = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!\"#$%&'()*,./:;?]+)([ \\t\\n\\r])"
 #: Entries that the caches of words and of pieces may hold before they become the old ones.
-CACHE_WORDS, CACHE_PIECES = 250_000, 50_000
+CACHE_WORDS, CACHE_PIECES = 160_000, 40_000
 
 
 class Aging(dict):

@@ -60,3 +60,26 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_dir(Session())
+
+
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components(spark, monkeypatch, few):
+    import random
+
+    from fathomline.llm import components as module
+
+    monkeypatch.setattr(module, "FEW_LINKS", few)
+    rng = random.Random(1)
+    links = [(0, i) for i in range(1, 400)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(5000 + i, 5001 + i) for i in range(40)]
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    found = {x.node: x.root for x in module.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {x: find(x) for x in parent if find(x) != x}
