@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, contexts, sub_contexts
-from .common import discard, few, lean, ready, split_join, stored, whole
+from .common import discard, lean, ready, split_join, stored, whole
 from .induced import DEEPEST, sorted_suffixes
 
 #: Bytes of a shard, about; contexts of an anchor beyond which they are dealt by their second anchors; queue entries in memory.
@@ -188,13 +188,13 @@ def without_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id",
     freed(spark)
     mixed = repeated.filter("NOT sole")
     distinct = stored(mixed.groupBy("a", "c").agg(F.min(F.struct("doc_id", "k", "size", "s0", "n")).alias("x"), F.count("*").alias("m")).select("a", "c", "m", "x.*"), "distinct")
-    bytes_of, contexts_of = distinct.agg(F.sum(F.col("n") + window), F.count("*")).first()
-    shards = max(1, -(-(bytes_of or 0) // SHARD_BYTES))
+    total = distinct.agg(F.sum(F.col("n") + window)).first()[0] or 0
+    shards = max(1, -(-total // SHARD_BYTES))
     hot = distinct.groupBy("a").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > HOT).select("a", F.lit(True).alias("hot"))
     placed = distinct.join(hot, "a", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     listed = placed.groupBy(F.col("doc_id").alias("own_id"), F.col("k").alias("own_k"), F.col("size").alias("own_size")).agg(F.collect_list(F.struct("a", "c", "m", "s0", "n", "hot")).alias("listed"))
     same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("k") == F.col("own_k")) & (F.col("size") == F.col("own_size"))
-    pieces = stored(sliced(texts.join(few(listed, 96 * contexts_of), same).select("text", "listed"), window, shards), "pieces")
+    pieces = stored(sliced(texts.join(listed, same).select("text", "listed"), window, shards), "pieces")
     freed(spark)
     ranges = pieces.groupBy("shard").applyInArrow(shard_ranges(window), "a long, c long, lo int, hi int")
     ranges = stored(ranges, "ranges")
@@ -205,5 +205,4 @@ def without_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id",
     by_text = stored(found.distinct().groupBy("k", "size").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "by_text")
     discard(pieces)
     freed(spark)
-    size = by_text.agg(F.sum(48 + 16 * F.size("ranges"))).first()[0] or 0
-    return cut(texts.join(few(by_text, size), ["k", "size"], "left").select("doc_id", "text", "ranges"), window)
+    return cut(texts.join(by_text, ["k", "size"], "left").select("doc_id", "text", "ranges"), window)
