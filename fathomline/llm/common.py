@@ -116,7 +116,7 @@ def parts(df: DataFrame) -> int:
     Where Spark knows no size (it then says some exabytes), the session's number of shuffle partitions serves.
     """
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions")) if size >> 50 else size // PART_BYTES
     return max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, wanted)
 
