@@ -91,8 +91,16 @@ def swept(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) ->
             MADE.remove(path)
 
 
-#: Tasks for each core that write a stored table, at most: many small partitions would make as many small files.
-TASKS_A_CORE = 4
+#: Tasks for each core that a table is dealt to, and bytes of its sources for each task where that makes more. Fewer tasks
+#: than partitions write a stored table if these are small, as they would make as many small files.
+TASKS_A_CORE, PART_BYTES = 4, 128 << 20
+
+
+def parts(df: DataFrame) -> int:
+    """Tasks for a table: by the size of the files that it is made from; sources of unknown size (Spark then says exabytes) count as small."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, sum(x for x in sizes if not x >> 50) // PART_BYTES)
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -101,26 +109,10 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     rows: how many there may be, if that is known; a task writes 100,000 or more.
     """
     path = fresh(df.sparkSession, name)
-    tasks = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
-    df.coalesce(tasks if rows is None else min(tasks, 1 + rows // 100_000)).write.parquet(path)
+    df.coalesce(parts(df) if rows is None else min(parts(df), 1 + rows // 100_000)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of a partition that a table is dealt to, about.
-PART_BYTES = 256 << 20
-
-
-def parts(df: DataFrame) -> int:
-    """Partitions for a table that is dealt by key or range: by the size that Spark expects, 4 tasks a core or more.
-
-    Where Spark knows no size (it then says some exabytes), the session's number of shuffle partitions serves.
-    """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions")) if size >> 50 else size // PART_BYTES
-    return max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, wanted)
-
-
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stored table that nothing reads any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
