@@ -5,8 +5,9 @@ addition, name the digests that may be frequent. Their number is at most ``count
 verified winners (exact count and first row) are broadcast and settle their rows without a shuffle. All other digests
 have fewer than 2n/(counters + 1) rows and meet in an ordinary shuffle.
 
-Null or missing text counts as empty; rows with a null doc_id come last in their group; of repeated rows (same doc_id
-and text) exactly one stays; an empty table gives an empty result; columns other than the two named are ignored.
+Null or missing text counts as empty; texts of any length are digested whole; of equal texts the one with the smallest
+doc_id stays, rows with a null doc_id come last in their group, and of repeated rows (same doc_id and text) exactly one
+stays; an empty table gives an empty result; columns other than the two named are ignored.
 """
 
 from __future__ import annotations

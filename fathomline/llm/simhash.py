@@ -12,7 +12,8 @@ and by the triangle inequality only sides whose border is within reach are asked
 compared. (Trees over the whole table, as before, had fingerprints near borders in 2.3 shards at 200,000 random ones and
 in 6.4 at 2,000,000.) No pair is lost. Shards give a spanning forest of their links, never all pairs.
 
-Null text counts as empty. Equal texts and repeated rows have equal fingerprints, hence one component. A null doc_id is
+Null text counts as empty; texts of any length are read whole; a bit that is set in exactly half the hashes is 0. Equal
+texts and repeated rows have equal fingerprints, hence one component. A null doc_id is
 never the smallest. An empty table gives an empty result; other columns are ignored.
 """
 

@@ -7,7 +7,8 @@ penalty is fitted on them. Scoring adds the weights of the distinct features of
 
 The fit uses at most ``sample_rows`` labelled rows, chosen by a hash of doc_id, a quarter of them toxic at most; scoring
 covers all rows. Of equally telling features those at lower places are kept; of several texts with one labelled doc_id
-the one with the least digest is learned from. Null and empty texts get the score of a text without features. Repeated rows get equal
+the one with the least digest is learned from. Null and empty texts get the score of a text without features; texts of any length
+are scored whole. Repeated rows get equal
 scores. Without labels of both classes every score is 0. Rows with a null doc_id are scored, never learned from and
 not held out. Other columns are ignored, so they cannot be inputs.
 """
