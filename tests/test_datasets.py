@@ -113,3 +113,10 @@ def test_command_line(spark, root, tmp_path):
     assert main(["manifest", str(root), str(tmp_path / "out")]) == 0
     rows = M.read_manifest(spark, str(tmp_path / "out/detection"))
     assert rows.count() == 3 and {x.split for x in rows.collect()} <= {"train", "val", "test"}
+
+
+def test_detector_boxes_reach_the_square_at_any_height(spark):
+    sizes = [(77, 64), (64, 77), (154, 303), (581, 616), (100, 100), (1, 1)]
+    images = spark.createDataFrame([(f"{h}x{w}", h, w, bytes(h * w)) for h, w in sizes], "tile string, height int, width int, data binary")
+    found = D.detector_boxes(images, lambda x: [(0, x.shape[0] // 2, x.shape[1], x.shape[0], "all", 1.0)]).collect()
+    assert sorted((x.tile, x.x1, x.y1, x.x2, x.y2) for x in found) == sorted((f"{h}x{w}", 0, h // 2 * 640 // h, 640, 640) for h, w in sizes)
