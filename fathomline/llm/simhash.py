@@ -12,6 +12,9 @@ and by the triangle inequality only sides whose border is within reach are asked
 compared. (Trees over the whole table, as before, had fingerprints near borders in 2.3 shards at 200,000 random ones and
 in 6.4 at 2,000,000.) No pair is lost. Shards give a spanning forest of their links, never all pairs.
 
+For near texts by Jaccard similarity (near_deduplicated) fingerprints are 512 bits wide and cuts are many; the same trees
+search in the shards, and exact counts decide.
+
 Null text counts as empty; texts of any length are read whole; a bit that is set in exactly half the hashes is 0. Equal
 texts and repeated rows have equal fingerprints, hence one component. A null doc_id is
 never the smallest. An empty table gives an empty result; other columns are ignored.
@@ -19,6 +22,7 @@ never the smallest. An empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -94,20 +98,21 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return rows.mapInArrow(lean(apply), "doc_id long, fingerprint long")
 
 
-def distance(points: np.ndarray, vantage: int) -> np.ndarray:
-    return np.bitwise_count(points ^ np.uint64(vantage)).astype(np.int16)
+def distance(points: np.ndarray, vantage: np.ndarray) -> np.ndarray:
+    bits = np.bitwise_count(points ^ vantage)
+    return bits.astype(np.int16) if points.ndim == 1 else bits.sum(1, dtype=np.int16)
 
 
-def border(points: np.ndarray) -> tuple[int, int] | None:
+def border(points: np.ndarray) -> tuple[np.ndarray, int] | None:
     """A vantage point and a radius that part the points; none if they can't be parted."""
-    vantage = int(points[len(points) // 2])
+    vantage = points[len(points) // 2]
     far = distance(points, vantage)
     radius = int(np.partition(far, (len(far) - 1) // 2)[(len(far) - 1) // 2])
     radius = min(radius, int(far.max()) - 1)
     return (vantage, radius) if len(points) > 1 and radius >= 0 else None
 
 
-def part(points: np.ndarray, resident: np.ndarray, vantage: int, radius: int, reach: int) -> tuple[np.ndarray, ...]:
+def part(points: np.ndarray, resident: np.ndarray, vantage: np.ndarray, radius: int, reach: int) -> tuple[np.ndarray, ...]:
     """Rows and residence inside and outside of a border.
 
     A resident outside visits the inside if that is within reach; it meets residents across the border there, so
@@ -119,10 +124,25 @@ def part(points: np.ndarray, resident: np.ndarray, vantage: int, radius: int, re
     return np.flatnonzero(inside), resident[inside] & (far[inside] <= radius), np.flatnonzero(outside), resident[outside]
 
 
-def shard_links(points: np.ndarray, resident: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a shard as stars: rows and the rows of their roots, for linked rows only."""
+def shard_links(points: np.ndarray, resident: np.ndarray, reach: int, hint: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a shard as stars: rows and the rows of their roots, for linked rows only.
+
+    Points are numbers, or rows of words; of the latter only those within ``hint`` bits in their first two words link.
+    If more than LEAF_ROWS of such residents are within reach of a vantage point they link to it, and meet all but
+    each other: large groups of near-copies are not gone through in pairs.
+    """
     found: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
+
+    def leaf(own: np.ndarray, visits: np.ndarray, met: bool = False) -> None:
+        nonlocal found, held
+        for a, b in leaf_links(points, own, visits, reach, hint, met):
+            found.append((a, b))
+            held += len(a)
+            if held > LINKS_AT_ONCE:
+                found = [reduced(found, len(points))]
+                held = len(found[0][0]) // 2
+
     todo = [(np.flatnonzero(resident), np.flatnonzero(~resident))]
     while todo:
         own, visits = todo.pop()
@@ -130,12 +150,13 @@ def shard_links(points: np.ndarray, resident: np.ndarray, reach: int) -> tuple[n
             continue
         line = border(points[own]) if len(own) > LEAF_ROWS else None
         if line is None:
-            for a, b in leaf_links(points, own, visits, reach):
-                found.append((a, b))
-                held += len(a)
-                if held > LINKS_AT_ONCE:
-                    found, held = [reduced(found, len(points))], 0
-                    held = len(found[0][0]) // 2
+            leaf(own, visits)
+            continue
+        near = distance(points[own], line[0]) <= reach if points.ndim > 1 else np.zeros(0, bool)
+        if near.sum() > LEAF_ROWS:
+            found.append((own[near], np.full(near.sum(), own[len(own) // 2])))
+            leaf(own[near], visits, True)
+            todo.append((own[~near], np.concatenate([visits, own[near]])))
             continue
         rows, lives = np.concatenate([own, visits]), np.arange(len(own) + len(visits)) < len(own)
         within, lives_in, without, lives_out = part(points[rows], lives, *line, reach)
@@ -143,12 +164,21 @@ def shard_links(points: np.ndarray, resident: np.ndarray, reach: int) -> tuple[n
     return reduced(found, len(points))
 
 
-def leaf_links(points: np.ndarray, own: np.ndarray, visits: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for i in range(0, len(own), 1024):
-        mine = points[own[i : i + 1024]]
-        for others in (own[i:], visits):
-            for j in range(0, len(others), 8192):
-                x, y = np.nonzero(np.bitwise_count(mine[:, None] ^ points[others[j : j + 8192]][None, :]) <= reach)
+def leaf_links(points: np.ndarray, own: np.ndarray, visits: np.ndarray, reach: int, hint: int = 0, met: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among own rows, unless these have met, and between them and visiting rows."""
+    mine_at_once, others_at_once = (1024, 8192) if points.ndim == 1 else (LEAF_ROWS, 2048)
+    for i in range(0, len(own), mine_at_once):
+        mine = points[own[i : i + mine_at_once]]
+        for others in (visits,) if met else (own[i:], visits):
+            for j in range(0, len(others), others_at_once):
+                theirs = points[others[j : j + others_at_once]]
+                if points.ndim == 1:
+                    x, y = np.nonzero(np.bitwise_count(mine[:, None] ^ theirs[None, :]) <= reach)
+                else:
+                    far = sum(np.bitwise_count(mine[:, w].copy()[:, None] ^ theirs[:, w].copy()[None, :]) for w in range(2))
+                    x, y = np.divmod(np.flatnonzero(far <= hint), len(theirs))
+                    near = np.bitwise_count(mine[x] ^ theirs[y]).sum(1, dtype=np.int16) <= reach
+                    x, y = x[near], y[near]
                 a, b = own[i + x], others[j + y]
                 yield a[a != b], b[a != b]
 
@@ -202,20 +232,71 @@ def near_components(docs: DataFrame, shingle: int = 3, reach: int = 2, id_col: s
     return split_join(rows, by_fingerprint, ["fingerprint"], "rows").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For a similarity of whole shingle sets: 64-bit words of a fingerprint, minima and minima a key.
-WIDE_WORDS, MINIMA, KEY_MINIMA = 8, 48, 3
-#: Standard deviations of slack that fingerprints get: they only propose, and those of the smallest sets scatter more.
-SLACK = 8
+#: For a similarity of whole shingle sets: 64-bit words of a fingerprint, and the chance to lose a pair in dealing.
+WIDE_WORDS, LOST = 8, 1e-5
+#: Standard deviations of slack that fingerprints get, and their first two words: they only propose, and those of the
+#: smallest sets scatter more.
+SLACK, SLACK_OF_TWO = 8, 7
+#: Sets of so few shingles are dealt more often, as a bit differs with a chance of up to 0.1875 there (0.161 elsewhere).
+SMALL_SET = 5
+#: Fingerprints that are dealt at a time, and bytes of dealt ones for each task.
+DEALT_AT_ONCE, DEALT_BYTES = 1 << 15, 32 << 20
 #: Hashes of a proposed group that are held in memory (more go to a file of the task), and those compared at a time.
 HASHES_HELD, HASHES_COMPARED = 1 << 23, 1 << 20
-MIX = [(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1, 0xD1B54A32D192ED03 * (i + 7) % (1 << 64)) for i in range(WIDE_WORDS + MINIMA)]
+MIX = [(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1, 0xD1B54A32D192ED03 * (i + 7) % (1 << 64)) for i in range(WIDE_WORDS)]
+#: A dealt fingerprint.
+PRINT = np.dtype([("id", "<i8"), ("print", "<u8", WIDE_WORDS)])
 
 
-def bits_apart(similarity: float) -> int:
-    """Differing bits of wide fingerprints at a Jaccard similarity, with SLACK standard deviations."""
+def bits_apart(similarity: float, words: int = WIDE_WORDS, slack: float = SLACK) -> int:
+    """Differing bits of wide fingerprints at a Jaccard similarity, with ``slack`` standard deviations."""
     cosine = 2 * similarity / (1 + similarity)
     share = np.arccos(cosine) / np.pi
-    return int(64 * WIDE_WORDS * share + SLACK * np.sqrt(64 * WIDE_WORDS * share * (1 - share)))
+    return int(64 * words * share + slack * np.sqrt(64 * words * share * (1 - share)))
+
+
+def bit_chance(similarity: float, least: int, most: int) -> float:
+    """The greatest chance that a bit differs at that similarity: of large sets, or exactly where the larger set has least to most shingles."""
+    worst = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    for b in range(least, most + 1):
+        for a in range(1, b + 1):
+            for both in range(a + 1):
+                if both >= similarity * (a + b - both):
+                    chance = sum(
+                        math.comb(both, s) * math.comb(a - both, x) * math.comb(b - both, y)
+                        for s in range(both + 1) for x in range(a - both + 1) for y in range(b - both + 1)
+                        if (2 * (s + x) > a) != (2 * (s + y) > b)
+                    )
+                    worst = max(worst, chance / 2.0 ** (a + b - both))
+    return float(worst)
+
+
+def deals(total: int, similarity: float) -> tuple[np.ndarray, int]:
+    """Rows of places of bits, and how many rows are for all sets: the others are for sets of SMALL_SET shingles or fewer.
+
+    Fingerprints that agree in the bits of a row meet in a shard of SHARD_ROWS, about. There are as many rows as keep the
+    chance that a pair of that similarity never meets at LOST or less, for the number of differing bits as it scatters.
+    Rows are cuts of the bits in random orders (seeded), so they share few.
+    """
+    size, bits = 64 * WIDE_WORDS, max(0, total // SHARD_ROWS).bit_length()
+    if not bits:
+        return np.zeros((1, 0), np.int64), 1
+    apart = np.arange(size + 1)
+    log = np.array([math.lgamma(size + 1) - math.lgamma(x + 1) - math.lgamma(size - x + 1) for x in apart])
+    agree = np.prod([np.maximum(0, size - apart - i) / (size - i) for i in range(bits)], axis=0)
+
+    def enough(chance: float) -> int:
+        weight = np.exp(log + apart * np.log(chance) + (size - apart) * np.log1p(-chance))
+        rows = 1
+        while (weight * (1 - agree) ** rows).sum() > LOST:
+            rows += 1
+        return rows
+
+    common = enough(bit_chance(similarity, SMALL_SET + 1, 20))
+    rows = max(common, enough(bit_chance(similarity, 1, SMALL_SET)))
+    rng = np.random.default_rng(SEED)
+    cut = [rng.permutation(size)[: size // bits * bits].reshape(-1, bits) for _ in range(-(-rows // (size // bits)))]
+    return np.concatenate(cut)[:rows], common
 
 
 def mixed(hashes: np.ndarray, i: int) -> np.ndarray:
@@ -225,10 +306,9 @@ def mixed(hashes: np.ndarray, i: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def wide_prints(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints (rows of WIDE_WORDS words) of the sets of shingles, and block keys made of KEY_MINIMA minima each."""
-    prints = np.zeros((len(texts), WIDE_WORDS), np.uint64)
-    keys = np.zeros((len(texts), MINIMA // KEY_MINIMA), np.uint64)
+def wide_prints(texts: list[str], size: int) -> tuple[np.ndarray, list[int]]:
+    """Fingerprints (rows of WIDE_WORDS words) and sizes of the sets of shingles."""
+    prints, sizes = np.zeros((len(texts), WIDE_WORDS), np.uint64), []
     held: list[np.ndarray] = []
     rows: list[int] = []
 
@@ -238,99 +318,67 @@ def wide_prints(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
         hashes, starts = np.concatenate(held), np.cumsum([0] + [len(x) for x in held[:-1]])
         for w in range(WIDE_WORDS):
             prints[rows, w] = majority(mixed(hashes, w), starts)
-        least = [np.minimum.reduceat(mixed(hashes, WIDE_WORDS + i), starts) for i in range(MINIMA)]
-        for j in range(keys.shape[1]):
-            own = np.full(len(rows), j, np.uint64)
-            for x in least[j * KEY_MINIMA : (j + 1) * KEY_MINIMA]:
-                own = mixed(own ^ x, 0)
-            keys[rows, j] = own
         held.clear(), rows.clear()
 
     count = 0
     for i, text in enumerate(texts):
         found = np.unique(np.array(shingle_hashes(text, size) or [0], np.uint64))
-        rows.append(i), held.append(found)
+        rows.append(i), held.append(found), sizes.append(len(found))
         count += len(found)
         if count >= HASHES_AT_ONCE // 4:
             settle()
             count = 0
     settle()
-    return prints, keys
+    return prints, sizes
 
 
-def block_links(points: np.ndarray, reach: int) -> np.ndarray:
-    """For each point of a block (rows of words) the first point of its group of links.
+def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b that, taken together, join all fingerprints (columns id, print, size) of texts of that similarity.
 
-    Groups grow from their first point. Distances from it, a vantage point, bound the others: only points whose
-    distance from it differs by ``reach`` at most are compared. A group of near-copies is taken in by its first point at
-    once, so its pairs are not gone through.
+    Each deal sends a fingerprint to one shard; vantage-point trees search in the shards, with the whole fingerprints.
+    Fingerprints travel in packets, many to a row.
     """
-    first = np.arange(len(points))
-    left = np.arange(len(points))
-    while len(left) > 1:
-        far = np.bitwise_count(points[left] ^ points[left[0]]).sum(1, dtype=np.int32)
-        near = far <= reach
-        todo, todo_far = [left[near]], [far[near]]
-        lead, left, far = left[0], left[~near], far[~near]
-        while todo:
-            own, own_far = todo.pop(), todo_far.pop()
-            first[own] = lead
-            for i in range(0, len(own), 256):
-                if not len(left):
-                    break
-                low, high = own_far[i : i + 256].min() - reach, own_far[i : i + 256].max() + reach
-                here = np.flatnonzero((far >= low) & (far <= high))
-                found = np.zeros(len(left), bool)
-                for j in range(0, len(here), 2048):
-                    some = here[j : j + 2048]
-                    apart = np.zeros((len(own[i : i + 256]), len(some)), np.int32)
-                    for w in range(points.shape[1]):
-                        apart += np.bitwise_count(points[own[i : i + 256], w][:, None] ^ points[left[some], w][None, :])
-                    found[some] = (apart <= reach).any(0)
-                if found.any():
-                    todo.append(left[found]), todo_far.append(far[found])
-                    left, far = left[~found], far[~found]
-    return first
-
-
-def similar_links(rows: DataFrame, reach: int) -> DataFrame:
-    """Links a, b between texts (column k) of one block; rows: k, print, keys."""
-
-    def settle(points: list[bytes], names: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-        words = np.frombuffer(b"".join(points), np.uint64).reshape(len(points), -1)
-        first = block_links(words, reach)
-        linked = np.flatnonzero(first != np.arange(len(first))).tolist()
-        return [names[i] for i in linked], [names[first[i]] for i in linked]
-
-    def made(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, points, names, a, b = None, [], [], [], []
+    total = prints.count()
+    (places, common), reach, hint = deals(total, similarity), bits_apart(similarity), bits_apart(similarity, 2, SLACK_OF_TWO)
+    rows_of, bits = places.shape
+
+    def packets(rows: np.ndarray, small: np.ndarray) -> Iterator[pa.RecordBatch]:
+        flat = np.ascontiguousarray(rows["print"])
+        for i in range(rows_of):
+            if i == common:
+                rows, flat = rows[small], flat[small]
+            own = np.zeros(len(rows), np.int64)
+            for at in places[i].tolist():
+                own = own << 1 | (flat[:, at // 64] >> np.uint64(at % 64) & np.uint64(1)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            own, dealt = own[order], rows[order]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            data = [dealt[j:k].tobytes() for j, k in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(i << bits | own[starts], pa.int64()), pa.array(data, pa.binary())], names=["shard", "data"])
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, small, count = [], [], 0
         for batch in batches:
-            keys, own, prints = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist() if len(keys) else []
-            for i, j in zip(starts, [*starts[1:], len(keys)], strict=True):
-                if keys[i] != key and names:
-                    x, y = settle(points, names)
-                    a += x
-                    b += y
-                    points, names = [], []
-                key = keys[i]
-                points += prints[i:j]
-                names += own[i:j]
-            if len(a) > 10_000:
-                yield made(a, b)
-                a, b = [], []
-        if names:
-            x, y = settle(points, names)
-            a += x
-            b += y
-        yield made(a, b)
-
-    blocks = rows.select("k", "print", F.explode("keys").alias("key"))
-    shared = blocks.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
-    return blocks.join(shared, "key").select("key", "k", "print").repartition(parts(rows), "key").sortWithinPartitions("key", "k").mapInArrow(lean(link), "a binary, b binary")
+            rows = np.zeros(len(batch), PRINT)
+            rows["id"] = batch.column(0).to_numpy()
+            rows["print"] = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(batch), -1)
+            held.append(rows), small.append(batch.column(2).to_numpy() <= SMALL_SET)
+            count += len(rows)
+            if count >= DEALT_AT_ONCE:
+                yield from packets(np.concatenate(held), np.concatenate(small))
+                held, small, count = [], [], 0
+        if count:
+            yield from packets(np.concatenate(held), np.concatenate(small))
+
+    def link(shard: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(shard["data"].to_pylist()), PRINT)
+        points = np.ascontiguousarray(rows["print"])
+        a, b = shard_links(points, np.ones(len(points), bool), reach, hint)
+        return pa.table({"a": rows["id"][a], "b": rows["id"][b]})
+
+    dealt = prints.select("id", "print", "size").mapInArrow(lean(deal), "shard long, data binary")
+    tasks = max(parts(prints), total * rows_of * PRINT.itemsize // DEALT_BYTES)
+    return dealt.repartition(tasks, "shard").groupBy("shard").applyInArrow(link, "a long, b long")
 
 
 def shared_counts(own: np.ndarray, sets: np.ndarray, starts: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -419,27 +467,27 @@ def near_deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """One row of docs, all columns, for each group of texts that links of ``similarity`` or more join: the smallest doc_id.
 
     Similarity is the Jaccard similarity of sets of shingles, counted exactly. At 0.8 and 64 bits, near texts are 10 bits
-    apart and others 32 with a deviation of 4, so borders of a tree within so wide a reach part nothing. Texts therefore
-    meet in blocks, by KEY_MINIMA equal minima (a pair of similarity 0.8 shares none of the 16 keys with a chance of 1 in
-    100,000). Wide fingerprints with SLACK deviations and vantage-point bounds propose groups within blocks; the sets of
-    a proposed group's texts decide its links. Of texts that are equal but for doc_id one stays; repeated rows count as
-    one text and stay or go together; texts without words are one group.
+    apart and others 32 with a deviation of 4, so fingerprints are wide (512 bits) and near ones need not agree in any of
+    a few cuts. Many cuts (see deals) therefore deal them to shards, and vantage-point trees search in the shards, with
+    SLACK deviations as their reach. The links propose groups; the sets of a proposed group's texts decide its links. Of
+    texts that are equal but for doc_id one stays; repeated rows count as one text and stay or go together; texts without
+    words are one group.
     """
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, keys = wide_prints(batch.column(2).to_pylist(), shingle)
-            listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in prints], pa.binary()), listed], names=["doc_id", "k", "print", "keys"])
+            prints, sizes = wide_prints(batch.column(2).to_pylist(), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in prints], pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "k", "print", "size"])
 
     ready(docs.sparkSession)
     own = {"doc_id": F.col(id_col).cast("long"), "k": digest128(whole(text_col))}
-    rows = docs.select(*[x.alias(n) for n, x in own.items()], whole(text_col).alias("text")).mapInArrow(lean(apply), "doc_id long, k binary, print binary, keys array<long>")
+    rows = docs.select(*[x.alias(n) for n, x in own.items()], whole(text_col).alias("text")).mapInArrow(lean(apply), "doc_id long, k binary, print binary, size int")
     rows = stored(rows, "prints")
+    distinct = stored(rows.select("k", "print", "size").dropDuplicates(["k"]).select(F.monotonically_increasing_id().alias("id"), "k", "print", "size"), "distinct")
     reach = bits_apart(similarity)
-    proposed = components(similar_links(rows.dropDuplicates(["k"]), reach))
+    proposed = components(similar_links(distinct, similarity))
     roots = proposed.unionByName(proposed.select(F.col("root").alias("node"), "root").distinct())
-    proposed = stored(rows.dropDuplicates(["k"]).select("k", "print").join(roots, F.col("k") == F.col("node")).select("k", "print", "root"), "proposed")
+    proposed = stored(distinct.join(roots, F.col("id") == F.col("node")).select("k", "print", "root"), "proposed")
     links = exact_links(docs.select(own["k"].alias("k"), whole(text_col).alias("text")), proposed, shingle, similarity, reach)
     grouped = stored(rows.select("doc_id", "k").join(links, F.col("k") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "k").alias("root")), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")

@@ -159,3 +159,56 @@ def test_near_deduplicated_around_the_threshold(spark, monkeypatch):
             parent[y] = x
     kept = near_deduplicated(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
     assert sorted(x.doc_id for x in kept.collect()) == [i for i in range(len(rows)) if find(i) == i]
+
+
+def wide_points(rng, n, groups, flips):
+    """Random fingerprints of 512 bits, and groups of copies with that many bits flipped."""
+    rows = [rng.getrandbits(512) for _ in range(n)]
+    for size in groups:
+        base = rng.getrandbits(512)
+        rows += [base ^ sum(1 << i for i in rng.sample(range(512), flips)) for _ in range(size)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_wide_fingerprints_in_trees(monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 8)
+    rows = wide_points(random.Random(3), 300, [2] * 20 + [40, 150], 60)
+    points = np.array([[x >> 64 * w & (1 << 64) - 1 for w in range(8)] for x in rows], np.uint64)
+    apart = np.bitwise_count(points[:, None] ^ points[None]).sum(2)
+    hint = np.bitwise_count(points[:, None, :2] ^ points[None, :, :2]).sum(2)
+    for reach, least in ((142, 128), (110, 128), (142, 30)):
+        a, b = simhash.shard_links(points, np.ones(len(points), bool), reach, least)
+        own = simhash.stars(a, b, len(points))
+        sure = simhash.stars(*np.nonzero((apart <= reach) & (hint <= least)), len(points))
+        most = simhash.stars(*np.nonzero(apart <= reach), len(points))
+        assert (own[sure] == own).all() and (most[own] == most).all()
+        assert least < 128 or (own == most).all()
+
+
+def test_deals_lose_few_pairs(monkeypatch):
+    assert simhash.bit_chance(0.8, 1, 5) == 0.1875 and 0.161 < simhash.bit_chance(0.8, 6, 20) < 0.1612
+    assert simhash.deals(10, 0.8)[0].shape == (1, 0)
+    rng = np.random.default_rng(5)
+    for total in (50_000, 1_000_000):
+        places, common = simhash.deals(total, 0.8)
+        assert places.shape[1] == (total // simhash.SHARD_ROWS).bit_length() and common < len(places)
+        for rows, chance in ((places[:common], 0.1612), (places, 0.1875)):
+            apart = rng.random((20_000, 512)) < chance
+            assert (~np.any([~apart[:, x].any(1) for x in rows], axis=0)).sum() <= 3
+
+
+def test_fingerprints_meet_through_shards_and_trees(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 20)
+    rows = wide_points(random.Random(4), 300, [2] * 60 + [90], 45)  # two copies differ in some 82 bits
+    prints = spark.createDataFrame([(i, bytearray(x.to_bytes(64, "little")), 3 + i % 9) for i, x in enumerate(rows)], "id long, print binary, size int")
+    found = simhash.similar_links(prints, 0.8).collect()
+    own = simhash.stars(np.array([x.a for x in found]), np.array([x.b for x in found]), len(rows))
+    points = np.array([[x >> 64 * w & (1 << 64) - 1 for w in range(8)] for x in rows], np.uint64)
+    want = simhash.stars(*np.nonzero(np.bitwise_count(points[:, None] ^ points[None]).sum(2) <= simhash.bits_apart(0.8)), len(rows))
+    assert len(set(want.tolist())) == 361 and (own == want).all()
+
+
+def test_near_deduplicated_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 20)
+    test_near_deduplicated_around_the_threshold(spark, monkeypatch)
